@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import media, token_files
+from . import bpe, media, packing, token_files
 from .common import read_table
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(read_table(spark, sf_dir, "documents"), spark)
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(read_table(spark, sf_dir, "documents"))
 
@@ -18,8 +22,12 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(read_table(spark, sf_dir, "documents"), spark)
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded_digests(read_table(spark, sf_dir, "documents"), spark)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_media_columns, op6_token_files)}
+    return {f.__name__: f for f in (op2_best_fit_packing, op5_media_columns, op6_token_files, op7_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
