@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, token_files
+from . import bpe, media, packing, quality, simhash, token_files
 from .common import read_table
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read_table(spark, sf_dir, "documents"), spark)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read_table(spark, sf_dir, "documents"), spark)
 
@@ -26,8 +30,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(read_table(spark, sf_dir, "documents"), spark)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), spark)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_fit_packing, op5_media_columns, op6_token_files, op7_bpe)}
+    return {f.__name__: f for f in (op1_simhash, op2_best_fit_packing, op5_media_columns, op6_token_files, op7_bpe, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
