@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, quality, simhash, token_files
+from . import bpe, media, packing, quality, simhash, substring, token_files
 from .common import read_table
 
 
@@ -18,6 +18,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read_table(spark, sf_dir, "documents"), spark)
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digests(read_table(spark, sf_dir, "documents"), spark)
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(read_table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_best_fit_packing, op5_media_columns, op6_token_files, op7_bpe, op9_quality)}
+    return {f.__name__: f for f in (op1_simhash, op2_best_fit_packing, op3_substring_dedup, op5_media_columns, op6_token_files, op7_bpe, op9_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
