@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, packing, quality, simhash, substring, token_files, toxicity
+from . import bpe, media, neighbours, packing, quality, simhash, substring, token_files, toxicity
 from .common import read_table
 
 
@@ -34,6 +34,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded_digests(read_table(spark, sf_dir, "documents"), spark)
 
 
+def op8_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(read_table(spark, sf_dir, "embeddings"), spark)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), spark)
 
@@ -43,7 +47,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_best_fit_packing, op3_substring_dedup, op5_media_columns, op6_token_files, op7_bpe, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_simhash, op2_best_fit_packing, op3_substring_dedup, op5_media_columns, op6_token_files, op7_bpe, op8_neighbours, op9_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
