@@ -8,6 +8,7 @@ weighted mean of their codes gives the document's score. Only documents carry la
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -184,3 +185,18 @@ def quality_scores(docs: DataFrame, labels: DataFrame, spark: SparkSession, labe
 
     scored = rowwise(texts_of(docs), "doc_id long, score double, passages int, top_passage int", step)
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"), "passages", "top_passage")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, spark: SparkSession, label: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose text scores at least `threshold`."""
+    shared = spark.sparkContext.broadcast(train(docs, labels, label))
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        model, out = shared.value, []
+        for at in range(0, len(text), 64):
+            bags = [passages(t if isinstance(t, str) else "") for t in text[at : at + 64]]
+            out += [1.0] * len(bags) if model is None else model.score(bags)[0].tolist()
+        return pd.Series(out, dtype=float)
+
+    return docs.filter(score(F.col("text").cast("string")) >= threshold)

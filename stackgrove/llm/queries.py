@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, neighbours, packing, quality, simhash, substring, token_files, toxicity
+from . import bpe, media, neighbours, packing, quality, secrets, simhash, substring, token_files, toxicity
 from .common import read_table
 
 
@@ -22,6 +22,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digests(read_table(spark, sf_dir, "documents"), spark)
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_findings(read_table(spark, sf_dir, "documents"), spark)
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(read_table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_best_fit_packing, op3_substring_dedup, op5_media_columns, op6_token_files, op7_bpe, op8_neighbours, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_simhash, op2_best_fit_packing, op3_substring_dedup, op4_secrets, op5_media_columns, op6_token_files, op7_bpe, op8_neighbours, op9_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
