@@ -28,8 +28,8 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated word windows go out of the texts; a text of which nothing is left goes."""
-    return _with_size(substring.without_repeats(docs, spark).filter("text is null or trim(text) <> ''"))
+    """Repeated word windows go out of the texts; every document stays, though its text may be empty."""
+    return _with_size(substring.without_repeats(docs, spark))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
