@@ -81,7 +81,7 @@ def contexts_in_chunks(events: DataFrame, chunk: Column) -> DataFrame:
                 pushed.pop()
             else:
                 pops += 1
-        return pd.DataFrame({"trace_id": pdf["trace_id"].iloc[:1], "tid": pdf["tid"].iloc[:1], "_chunk": pdf["_chunk"].iloc[:1], "pops": [pops], "pushed": [pushed]})
+        return pd.DataFrame({"trace_id": pdf["trace_id"].iloc[:1], "tid": pdf["tid"].iloc[:1], "_chunk": pdf["_chunk"].iloc[:1], "pops": pops, "pushed": pd.Series([pushed], pdf.index[:1], object)})
 
     kind_of = dict(rows.dtypes)
     head = f"trace_id string, tid long, _chunk {kind_of['_chunk']}"
@@ -94,7 +94,7 @@ def contexts_in_chunks(events: DataFrame, chunk: Column) -> DataFrame:
             starts.append(list(stack))
             stack = stack[: max(0, len(stack) - int(pops))] + list(pushed)
         out = pdf.sort_values("_chunk")[["trace_id", "tid", "_chunk"]].copy()
-        out["start"] = starts
+        out["start"] = pd.Series(starts, out.index, object)
         return out
 
     starts = effects.groupBy(*_THREAD).applyInPandas(carry, f"{head}, start array<string>")
@@ -111,9 +111,9 @@ def contexts_in_chunks(events: DataFrame, chunk: Column) -> DataFrame:
             elif stack:
                 stack.pop()
         out = left.iloc[kept][["trace_id", "tid", *ORDER, "tick", "frame"]].copy()
-        out["depth"] = [len(p) for p in paths]
-        out["path_frames"] = paths
-        out["path"] = ["/".join(p) for p in paths]
+        out["depth"] = pd.Series([len(p) for p in paths], out.index, int)
+        out["path_frames"] = pd.Series(paths, out.index, object)
+        out["path"] = pd.Series(["/".join(p) for p in paths], out.index, object)
         return out[["trace_id", "tid", "ts", "seq", "tick", "depth", "frame", "path_frames", "path"]]
 
     schema = "trace_id string, tid long, ts timestamp, seq long, tick long, depth int, frame string, path_frames array<string>, path string"
