@@ -37,7 +37,8 @@ def prefixes(path: Column) -> Column:
 
 
 def from_hex(text: Column) -> Column:
-    return F.conv(F.regexp_replace(text, "^0[xX]", ""), 16, 10).cast("long")
+    """A number of up to 64 bits; from 2**63 on it is the negative long of the same bits."""
+    return F.conv(F.regexp_replace(text, "^0[xX]", ""), 16, -10).cast("long")
 
 
 def to_hex(number: Column) -> Column:

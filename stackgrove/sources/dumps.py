@@ -105,9 +105,10 @@ def read_symbols(spark: SparkSession, path: str) -> DataFrame:
 
     A file whose count of symbols is not that of its lines raises an error.
     """
-    whole = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("run_id"), F.split(F.regexp_replace("value", r"\n+$", ""), "\n").alias("l"))
-    n = F.col("l")[2].cast("int")
-    whole = whole.filter(F.when(F.size("l") == 3 + 5 * n, True).otherwise(F.raise_error(F.concat(F.lit("bad symbols file "), F.col("run_id"))).cast("boolean")))
+    whole = spark.read.option("wholetext", True).text(path).filter("value <> ''").select(F.col("_metadata.file_path").alias("run_id"), F.split(F.regexp_replace("value", r"\n+$", ""), "\n").alias("l"))
+    n = F.get("l", F.lit(2)).cast("int")
+    wrong = F.raise_error(F.concat(F.lit("bad symbols file "), F.col("run_id"))).cast("array<string>")
+    whole = whole.withColumn("l", F.when(F.size("l") == 3 + 5 * n, F.col("l")).otherwise(wrong))
     head = whole.select("run_id", F.regexp_replace(F.col("l")[0], r"^\[program\] ", "").alias("program"), F.regexp_replace(F.col("l")[1], r"^\[maps_file\] ", "").alias("maps_file"), n.alias("n"), "l")
     each = head.filter("n > 0").select("run_id", "program", "maps_file", "l", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
     line = lambda k: F.get("l", F.lit(3) + F.col("i") * 5 + k)

@@ -21,7 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.pandas.types import to_arrow_schema
 
 HEADER = struct.Struct("<IQQQQI")
-MAGIC = 0xABADCAFE
+HEADER_BYTES, MAGIC = HEADER.size, 0xABADCAFE
 TAG_ENTER, TAG_EXIT, TAG_TICK, TAG_ENTER_SITE = 0x0, 0x1, 0x4, 0x5
 RECORD_BYTES = {TAG_ENTER: 5, TAG_EXIT: 1, TAG_TICK: 1, TAG_ENTER_SITE: 7}
 SCHEMA = "trace_id string, tid long, seq long, kind string, routine_id long, call_site long, ts timestamp, tick long"
@@ -131,13 +131,13 @@ class TraceWriter(DataSourceWriter):
                 if n.endswith(".trace"):
                     os.unlink(os.path.join(self.path, n))
 
-    def write(self, iterator: Iterator) -> WriterCommitMessage | None:
+    def write(self, iterator: Iterator) -> WriterCommitMessage:
         for tid, rows in itertools.groupby(iterator, key=lambda r: r["tid"]):
             name = os.path.join(self.path, f"{tid}-{uuid.uuid4().hex[:8]}")
             with open(f"{name}.part", "wb") as f:
                 f.write(encode(rows, self.timer))
             os.rename(f"{name}.part", f"{name}.trace")
-        return None
+        return WriterCommitMessage()
 
 
 def read_traces(spark: SparkSession, path: str) -> DataFrame:
@@ -155,7 +155,7 @@ def read_traces_any(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 header = parse_header(row["content"])
-                found = list(decode(iter([row["content"][HEADER.size :]]), os.path.basename(row["path"]), row["tid"], header["first_tick"]))
+                found = list(decode(iter([row["content"][HEADER_BYTES:]]), os.path.basename(row["path"]), row["tid"], header["first_tick"]))
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), arrow, strict=True)], schema=arrow)
 
