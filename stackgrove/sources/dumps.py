@@ -105,7 +105,7 @@ def read_symbols(spark: SparkSession, path: str) -> DataFrame:
 
     A file whose count of symbols is not that of its lines raises an error.
     """
-    whole = spark.read.option("wholetext", True).text(path).filter("value <> ''").select(F.col("_metadata.file_path").alias("run_id"), F.split(F.regexp_replace("value", r"\n+$", ""), "\n").alias("l"))
+    whole = spark.read.text(path, wholetext=True).filter("value <> ''").select(F.col("_metadata.file_path").alias("run_id"), F.split(F.regexp_replace("value", r"\n+$", ""), "\n").alias("l"))
     n = F.get("l", F.lit(2)).cast("int")
     wrong = F.raise_error(F.concat(F.lit("bad symbols file "), F.col("run_id"))).cast("array<string>")
     whole = whole.withColumn("l", F.when(F.size("l") == 3 + 5 * n, F.col("l")).otherwise(wrong))
