@@ -258,8 +258,7 @@ def digests(docs: DataFrame, spark: SparkSession, depth: int = DEPTH) -> DataFra
 
 def without_repeats(docs: DataFrame, spark: SparkSession, depth: int = DEPTH) -> DataFrame:
     """docs with the repeated windows out of `text`; a text that loses nothing stays as it is."""
-    columns = docs.columns
-    rid = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    lost = removals(with_row_id(docs), Scratch(spark, "substring"), depth).dropDuplicates(["rid"]).select("rid", "kept")
-    joined = docs.withColumn("_rid", rid).join(lost, F.col("_rid") == F.col("rid"), "left")
-    return joined.select(*[F.coalesce("kept", "text").alias("text") if c == "text" else c for c in columns])
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    lost = removals(with_row_id(docs), Scratch(spark, "substring"), depth).dropDuplicates(["rid"]).select(F.col("rid").alias("key"), "kept")
+    joined = docs.select(F.struct("*").alias("row"), key.alias("key")).join(lost, "key", "left")  # whole rows, so no name clashes
+    return joined.select(*[(F.coalesce("kept", F.col("row.text")) if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
