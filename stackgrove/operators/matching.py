@@ -134,10 +134,11 @@ def match_trees(first: DataFrame, second: DataFrame, adjust: float = 1.0, limit:
     """first_path, second_path, status, score: the root pair, matched pairs, and nodes of the first without one.
 
     first and second: rows of described(). checkpoint(df, name), if given, cuts the plan at each level;
-    it should write to storage that outlives executors.
+    it should write to storage that outlives executors. Else the session's checkpoint folder is used, or a cache
+    where there is none.
     """
     spark = first.sparkSession
-    keep = checkpoint or (lambda df, name: df.cache())
+    keep = checkpoint or (lambda df, name: df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.cache())
     frontier = spark.createDataFrame([("", "", MATCHED, 1.0)], SCHEMA)
     found = frontier
     for level in range(1, levels + 1):
@@ -150,6 +151,16 @@ def match_trees(first: DataFrame, second: DataFrame, adjust: float = 1.0, limit:
     return found.unionByName(lost.select(F.col("path").alias("first_path"), F.lit(None).cast("string").alias("second_path"), F.lit(NOT_MATCHED).alias("status"), F.lit(0.0).alias("score")))
 
 
+def status_counts(matches: DataFrame) -> DataFrame:
+    return matches.groupBy("status").agg(F.count("*").alias("nodes"))
+
+
+def unmatched_frequency(first: DataFrame, matches: DataFrame) -> DataFrame:
+    """avg and max counter of the first tree's nodes without a partner; 0 where there are none."""
+    lost = first.join(matches.filter("second_path is null").select(F.col("first_path").alias("path")), "path", "left_semi")
+    return lost.agg(F.count("*").alias("unmatched"), F.coalesce(F.avg("counter"), F.lit(0.0)).alias("avg"), F.coalesce(F.max("counter"), F.lit(0)).alias("max"))
+
+
 #: The score thresholds that match summaries list.
 SCORE_STEPS = [1.0, 0.95, 0.9, 0.85, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.2, 0.1, 0.05]
 

@@ -27,7 +27,7 @@ def tick_clock(events: DataFrame) -> DataFrame:
 
 def relative_ticks(entered: DataFrame) -> DataFrame:
     """Adds tick_no from the column tick: ticks since the trace's first."""
-    first = F.broadcast(entered.groupBy("trace_id").agg(F.min("tick").alias("_first")))  # a row for each trace
+    first = entered.groupBy("trace_id").agg(F.min("tick").alias("_first"))
     return entered.join(first, "trace_id").withColumn("tick_no", F.col("tick") - F.col("_first")).drop("_first")
 
 

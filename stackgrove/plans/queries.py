@@ -269,6 +269,14 @@ def match_summary(spark, sf_dir):
     return matching.match_summary(match_trees(spark, sf_dir), trees.prune_depth(_burst(spark, sf_dir), 3))
 
 
+def match_status(spark, sf_dir):
+    return matching.status_counts(match_trees(spark, sf_dir))
+
+
+def unmatched_frequency(spark, sf_dir):
+    return matching.unmatched_frequency(trees.prune_depth(_tree(spark, sf_dir), 3), match_trees(spark, sf_dir))
+
+
 def graphviz_lines(spark, sf_dir):
     return texts.graphviz_lines(_tree(spark, sf_dir))
 
@@ -337,7 +345,7 @@ _NAMED = [
     max_phi_table, hot_per_phi, sibling_rank, growth_curve, static_burst_walk, static_burst_create, burst_stats,
     wall_clock_bursts, elapsed_ticks, time_cct, uncovered, degree_overlap, counter_error, false_positives, hot_coverage_tau,
     hot_coverage_factors, node_partition, counter_accuracy, adjust_factor, sampling_ratios, summary_report, region_join,
-    symbol_join, child_similarity, match_trees, match_summary, graphviz_lines, tree_dump_lines, console_tree, json_tree,
+    symbol_join, child_similarity, match_trees, match_summary, match_status, unmatched_frequency, graphviz_lines, tree_dump_lines, console_tree, json_tree,
     sketch_report, approximate_top, adaptive_burst, adaptive_burst_weighted, shallow_tree, windowed_calls,
 ]
 

@@ -73,22 +73,26 @@ def checked(nodes: DataFrame, runs: DataFrame) -> DataFrame:
     return wrong.unionByName(roots).unionByName(lost).unionByName(bad)
 
 
-def with_paths(nodes: DataFrame, levels: int = 1024) -> DataFrame:
-    """run_id, path, depth, counter and ids of all nodes but the root: parents are resolved by self-joins on ids.
+def with_paths(nodes: DataFrame, levels: int = 1 << 20) -> DataFrame:
+    """run_id, node_id, path, depth, counter and ids of all nodes but the root: parents are resolved by self-joins on ids.
 
-    Each step doubles the length of the known chains (a node's path from its ancestor 2**k above),
-    so a tree of depth d takes about log2(d) joins.
+    Each step doubles the length of the known chains (a node's path from its ancestor 2**k above)
+    and is cut, to the session's checkpoint folder where there is one; steps end with the first
+    that leaves no chain below its root, after about log2 of the depth.
     """
+    context = nodes.sparkSession.sparkContext
+    cut = (lambda df: df.checkpoint()) if context.getCheckpointDir() else (lambda df: df.cache())
     own = F.concat(F.lower(F.hex("routine_id")), F.lit("@"), F.lower(F.hex("call_site")))
-    rows = nodes.filter("parent_id <> 0").select("run_id", "node_id", F.col("parent_id").alias("up"), own.alias("path"), "counter", "routine_id", "call_site")
-    roots = nodes.filter("parent_id = 0").select("run_id", F.col("node_id").alias("up"), F.lit(True).alias("_root"))
-    chains, reach = rows, 1
-    while reach < levels:
+    ids = ["counter", "routine_id", "call_site"]
+    roots = nodes.filter("parent_id = 0").select("run_id", F.col("node_id").alias("up"))
+    chains = cut(nodes.filter("parent_id <> 0").select("run_id", "node_id", F.col("parent_id").alias("up"), own.alias("path"), *ids))
+    reach = 1
+    while reach < levels and not chains.join(roots, ["run_id", "up"], "left_anti").isEmpty():
         above = chains.select("run_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
         joined = chains.join(above, ["run_id", "up"], "left")
-        chains = joined.select("run_id", "node_id", F.coalesce("_up", "up").alias("up"), F.when(F.col("_path").isNull(), F.col("path")).otherwise(F.concat_ws("/", "_path", "path")).alias("path"), "counter", "routine_id", "call_site")
+        chains = cut(joined.select("run_id", "node_id", F.coalesce("_up", "up").alias("up"), F.concat_ws("/", "_path", "path").alias("path"), *ids))
         reach *= 2
-    return chains.join(roots, ["run_id", "up"], "left_semi").select("run_id", "node_id", "path", F.size(F.split("path", "/")).alias("depth"), "counter", "routine_id", "call_site")
+    return chains.join(roots, ["run_id", "up"], "left_semi").select("run_id", "node_id", "path", F.size(F.split("path", "/")).alias("depth"), *ids)
 
 
 def read_maps(spark: SparkSession, path: str) -> DataFrame:
