@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,14 +17,15 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SLICE = 64
 
 
+@functools.cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="stackgrove-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, from spark.checkpoint.dir; a local one only where that is unset."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="stackgrove-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    """The folder all executors share, from spark.checkpoint.dir; a local one of its own only where that is unset."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    return (root or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
 
 
 class Scratch:
