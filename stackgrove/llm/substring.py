@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, rowwise, texts_of
 
-DEPTH, GRAM, GROUP = 35, 10, 512
+DEPTH, GRAM, GROUP = 35, 10, 4096
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -137,41 +137,51 @@ def _subtree_marks(candidates: DataFrame, depth: int, gram: int) -> DataFrame:
             out = []
             for row in rows:
                 for hashes, prefix, place, first, n in _hits(row, depth, gram, False):
-                    low = hashes.astype(np.uint32)
-                    out.append((prefix, row["rid"], first, n, place - first, low[first:place].tobytes() + low[place + gram : first + n + depth - 1].tobytes()))
+                    low = hashes[first : first + n + depth - 1].astype("<u4")
+                    low[place - first : place - first + gram] = 0  # the prefix says what these are
+                    out.append((prefix, row["rid"], first, n, place - first, low.tobytes()))
             return out
 
         return work
 
     rows = rowwise(candidates, "prefix long, rid long, first int, n int, before int, words binary", step)
 
-    def marks(rows: list[tuple]) -> pa.RecordBatch:
-        suffixes, owners = [], []
-        for k, (prefix, _, _, n, before, raw) in enumerate(rows):
-            words = np.frombuffer(raw, np.uint32)
-            whole = np.concatenate([words[:before], np.zeros(gram, np.uint32), words[before:]])
-            views = np.lib.stride_tricks.sliding_window_view(whole, depth)
-            start = np.empty((n, 3), np.uint32)
-            start[:, 0], start[:, 1], start[:, 2] = (prefix >> 32) & 0xFFFFFFFF, prefix & 0xFFFFFFFF, before - np.arange(n)
-            suffixes.append(np.hstack([start, views]))
-            owners.append(np.stack([np.full(n, k), np.arange(n)], axis=1))
-        below = deep_leaves(np.concatenate(suffixes))
-        owner, window = np.concatenate(owners)[below].T
-        masks = np.zeros(len(rows), np.int64)
-        np.bitwise_or.at(masks, owner, np.int64(1) << window)
+    def marks(rows: pa.RecordBatch) -> pa.RecordBatch:
+        """All subtrees of some whole prefixes at once: the prefix leads each suffix, so the sort keeps them apart."""
+        prefix, rid, first, n, before = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+        words = np.frombuffer(b"".join(rows.column(5).to_pylist()), "<u4")
+        starts = np.concatenate([[0], np.cumsum(n + depth - 1)[:-1]])
+        owner = np.repeat(np.arange(len(n)), n)
+        window = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+        suffixes = np.empty((len(owner), depth + 3), np.uint32)
+        suffixes[:, :2] = prefix.astype("<i8").view("<u4").reshape(-1, 2)[owner]
+        suffixes[:, 2] = before[owner] - window
+        suffixes[:, 3:] = np.lib.stride_tricks.sliding_window_view(words, depth)[starts[owner] + window]
+        below = deep_leaves(suffixes)
+        masks = np.zeros(len(n), np.int64)
+        np.bitwise_or.at(masks, owner[below], np.int64(1) << window[below])
         kept = np.flatnonzero(masks)
-        return pa.RecordBatch.from_arrays([pa.array([rows[k][1] for k in kept], pa.int64()), pa.array([rows[k][2] for k in kept], pa.int32()), pa.array(masks[kept], pa.int64())], ["rid", "first", "mask"])
+        return pa.RecordBatch.from_arrays([pa.array(rid[kept], pa.int64()), pa.array(first[kept], pa.int32()), pa.array(masks[kept], pa.int64())], ["rid", "first", "mask"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []  # whole prefixes, and the last one so far
+        held: list[pa.RecordBatch] = []  # rows of the last prefix so far
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)), strict=True):
-                if len(held) >= 2 * GROUP and row[0] != held[-1][0]:
-                    yield marks(held)
-                    held = []
-                held.append(row)
+            prefix = batch.column(0).to_numpy()
+            whole = int(np.searchsorted(prefix, prefix[-1])) if len(prefix) else 0  # rows before the last prefix
+            if held and len(prefix) and held[-1].column(0)[0].as_py() != prefix[0]:
+                yield from each(held)
+                held = []
+            if whole:
+                yield from each([*held, batch.slice(0, whole)])
+                held = []
+            if batch.num_rows > whole:
+                held.append(batch.slice(whole))
         if held:
-            yield marks(held)
+            yield from each(held)
+
+    def each(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in pa.Table.from_batches(parts).combine_chunks().to_batches():
+            yield marks(part)
 
     return rows.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "rid long, first int, mask long")
 
@@ -196,9 +206,10 @@ def _crowded_leaves(candidates: DataFrame, depth: int, gram: int) -> DataFrame:
 
 def removals(rows: DataFrame, scratch: Scratch, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """rid, n_removed, kept (the words that stay, joined by one space) of the texts that lose words."""
-    counts = prefixes(rows, depth, gram).groupBy("prefix").agg(F.sum("n").alias("n")).filter("n > 1")
+    found = scratch.table(prefixes(rows, depth, gram), "found")
+    counts = found.groupBy("prefix").agg(F.sum("n").alias("n")).filter("n > 1")
     repeated = scratch.table(counts, "prefixes")
-    hits = prefixes(rows, depth, gram).select("rid", "prefix").join(repeated, "prefix")
+    hits = found.select("rid", "prefix").join(repeated, "prefix")
     hits = scratch.table(hits.groupBy("rid").agg(F.collect_list(F.struct("prefix", "n")).alias("hits")), "hits")
     candidates = scratch.table(rows.select("rid", "text").join(hits, "rid"), "candidates")
     leaves = _crowded_leaves(candidates, depth, gram)
@@ -227,8 +238,8 @@ def removals(rows: DataFrame, scratch: Scratch, depth: int = DEPTH, gram: int =
 
         return work
 
-    found = candidates.select("rid", "text").join(marks, "rid")
-    return scratch.table(rowwise(found, "rid long, n_removed long, kept string", step), "removals")
+    losing = candidates.select("rid", "text").join(marks, "rid")
+    return scratch.table(rowwise(losing, "rid long, n_removed long, kept string", step), "removals")
 
 
 def digests(docs: DataFrame, spark: SparkSession, depth: int = DEPTH) -> DataFrame:
