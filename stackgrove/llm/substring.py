@@ -187,21 +187,26 @@ def _subtree_marks(candidates: DataFrame, depth: int, gram: int) -> DataFrame:
 
 
 def _crowded_leaves(candidates: DataFrame, depth: int, gram: int) -> DataFrame:
-    """rid, first, window: the windows of prefixes of over GROUP rows, each by a hash of all its words."""
+    """window, n, places (rid, first): the windows of prefixes of over GROUP rows, each by a hash of all its words.
+
+    Places of one window in the few texts handled together share a row, so what a passage in a third
+    of all texts sends on is a fraction of its places.
+    """
 
     def step():
         def work(rows: list[dict]) -> list[tuple]:
-            out = []
+            places: dict[int, list[tuple[int, int]]] = {}
             for row in rows:
                 whole = None
                 for hashes, _, _, first, n in _hits(row, depth, gram, True):
                     whole = stretches(hashes, depth).view(np.int64) if whole is None else whole
-                    out += [(row["rid"], first + i, w) for i, w in enumerate(whole[first : first + n].tolist())]
-            return out
+                    for i, w in enumerate(whole[first : first + n].tolist()):
+                        places.setdefault(w, []).append((row["rid"], first + i))
+            return [(w, len(p), [{"rid": r, "first": f} for r, f in p]) for w, p in places.items()]
 
         return work
 
-    return rowwise(candidates, "rid long, first int, window long", step)
+    return rowwise(candidates, "window long, n long, places array<struct<rid: long, first: int>>", step)
 
 
 def removals(rows: DataFrame, scratch: Scratch, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
@@ -213,8 +218,10 @@ def removals(rows: DataFrame, scratch: Scratch, depth: int = DEPTH, gram: int =
     hits = scratch.table(hits.groupBy("rid").agg(F.collect_list(F.struct("prefix", "n")).alias("hits")), "hits")
     candidates = scratch.table(rows.select("rid", "text").join(hits, "rid"), "candidates")
     leaves = _crowded_leaves(candidates, depth, gram)
-    repeats = scratch.table(leaves.groupBy("window").agg(F.count("*").alias("n")).filter("n > 1").select("window"), "windows")
-    crowded = leaves.join(repeats, "window").select("rid", "first", F.lit(1).cast("long").alias("mask"))
+    leaves = scratch.table(leaves, "leaves")
+    repeats = scratch.table(leaves.groupBy("window").agg(F.sum("n").alias("n")).filter("n > 1").select("window"), "windows")
+    places = leaves.join(repeats, "window").select(F.explode("places").alias("p"))
+    crowded = places.select("p.rid", "p.first", F.lit(1).cast("long").alias("mask"))
     marks = _subtree_marks(candidates, depth, gram).unionByName(crowded)
     marks = scratch.table(marks.groupBy("rid").agg(F.collect_list(F.struct("first", "mask")).alias("marks")), "marks")
 
