@@ -260,13 +260,12 @@ def child_similarity(spark, sf_dir):
 
 
 def match_trees(spark, sf_dir):
-    second = trees.prune_depth(_burst(spark, sf_dir), 3)
-    first = trees.prune_depth(_tree(spark, sf_dir), 3)
+    first, second = _tree(spark, sf_dir), _burst(spark, sf_dir)
     return matching.match_trees(matching.described(first).cache(), matching.described(second).cache(), _adjust(spark, sf_dir))
 
 
 def match_summary(spark, sf_dir):
-    return matching.match_summary(match_trees(spark, sf_dir), trees.prune_depth(_burst(spark, sf_dir), 3))
+    return matching.match_summary(match_trees(spark, sf_dir), _burst(spark, sf_dir))
 
 
 def match_status(spark, sf_dir):
@@ -274,7 +273,7 @@ def match_status(spark, sf_dir):
 
 
 def unmatched_frequency(spark, sf_dir):
-    return matching.unmatched_frequency(trees.prune_depth(_tree(spark, sf_dir), 3), match_trees(spark, sf_dir))
+    return matching.unmatched_frequency(_tree(spark, sf_dir), match_trees(spark, sf_dir))
 
 
 def graphviz_lines(spark, sf_dir):
