@@ -259,6 +259,13 @@ def child_similarity(spark, sf_dir):
     return matching.pair_scores(first, second, pairs, _adjust(spark, sf_dir)).select("first_path", "second_path", F.round("score", 6).alias("score"))
 
 
+def child_similarity_all(spark, sf_dir):
+    """Children of every pair of one path, at any depth; child_similarity has the first two levels, as its SQL."""
+    first, second = matching.described(_tree(spark, sf_dir)), matching.described(_burst(spark, sf_dir))
+    pairs = _same_paths(spark, sf_dir).unionByName(spark.createDataFrame([("", "")], "first_path string, second_path string"))
+    return matching.pair_scores(first, second, pairs, _adjust(spark, sf_dir)).select("first_path", "second_path", F.round("score", 6).alias("score"))
+
+
 def match_trees(spark, sf_dir):
     first, second = _tree(spark, sf_dir), _burst(spark, sf_dir)
     return matching.match_trees(matching.described(first).cache(), matching.described(second).cache(), _adjust(spark, sf_dir))
@@ -344,7 +351,7 @@ _NAMED = [
     max_phi_table, hot_per_phi, sibling_rank, growth_curve, static_burst_walk, static_burst_create, burst_stats,
     wall_clock_bursts, elapsed_ticks, time_cct, uncovered, degree_overlap, counter_error, false_positives, hot_coverage_tau,
     hot_coverage_factors, node_partition, counter_accuracy, adjust_factor, sampling_ratios, summary_report, region_join,
-    symbol_join, child_similarity, match_trees, match_summary, match_status, unmatched_frequency, graphviz_lines, tree_dump_lines, console_tree, json_tree,
+    symbol_join, child_similarity, child_similarity_all, match_trees, match_summary, match_status, unmatched_frequency, graphviz_lines, tree_dump_lines, console_tree, json_tree,
     sketch_report, approximate_top, adaptive_burst, adaptive_burst_weighted, shallow_tree, windowed_calls,
 ]
 
