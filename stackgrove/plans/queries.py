@@ -299,6 +299,11 @@ def json_tree(spark, sf_dir):
     return texts.json_tree(_tree(spark, sf_dir), 3)
 
 
+def json_tree_all(spark, sf_dir):
+    """Subtrees nested down to their leaves; json_tree has three levels, as its SQL."""
+    return texts.json_tree(_tree(spark, sf_dir))
+
+
 def _whole_sketch(engine: str, size: int) -> Query:
     return lambda spark, sf_dir: sketches.merged_sketch(sketches.sketch(_enters(spark, sf_dir), engine, size)).select("path", "counter")
 
@@ -351,7 +356,7 @@ _NAMED = [
     max_phi_table, hot_per_phi, sibling_rank, growth_curve, static_burst_walk, static_burst_create, burst_stats,
     wall_clock_bursts, elapsed_ticks, time_cct, uncovered, degree_overlap, counter_error, false_positives, hot_coverage_tau,
     hot_coverage_factors, node_partition, counter_accuracy, adjust_factor, sampling_ratios, summary_report, region_join,
-    symbol_join, child_similarity, child_similarity_all, match_trees, match_summary, match_status, unmatched_frequency, graphviz_lines, tree_dump_lines, console_tree, json_tree,
+    symbol_join, child_similarity, child_similarity_all, match_trees, match_summary, match_status, unmatched_frequency, graphviz_lines, tree_dump_lines, console_tree, json_tree, json_tree_all,
     sketch_report, approximate_top, adaptive_burst, adaptive_burst_weighted, shallow_tree, windowed_calls,
 ]
 
