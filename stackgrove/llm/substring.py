@@ -4,15 +4,20 @@ Every window of `depth` words is a suffix of its text cut at that depth; a node
 at that depth with two leaves or more is a repeat. The tree is never built whole:
 
 * Suffixes are dealt by a prefix. It is the one gram of GRAM words within the window that has the
-  least hash (its anchor) and where it lies, so neighbouring suffixes share a row and equal windows
-  always share a prefix. Prefixes that occur once hold no repeat and are left out; only documents
-  with others are read again.
-* A prefix of up to GROUP rows is one subtree: its suffixes are sorted, the depth of the node
-  between neighbours is their common prefix, and nodes of full depth mark their leaves.
-* A more common prefix is lengthened to the whole window; its leaves are then counted where they
-  are and summed, so a passage that a third of all documents share costs no task more than others.
-
-Words are compared by hash: 64 bits for a prefix, 32 for each further word of a window.
+  least hash (its anchor), so neighbouring suffixes share it and travel as one row, a run, and equal
+  windows always share a prefix. Prefixes that occur once hold no repeat and are left out; only
+  documents with others are read again. Equal runs become one row with their number, so exact copies
+  and the inside of a passage cost one row however many documents have them.
+* A prefix of up to GROUP runs is one subtree, built in a task: its suffixes, as whole words, are
+  sorted, the depth of the node between neighbours is their common prefix, and nodes of full depth
+  mark their leaves.
+* The prefix of a larger group is lengthened: the windows of a run that reach further to the left
+  take the words before the gram to their prefix, the others those after it, and so on by halves
+  until groups are small or the prefix is the whole window, when all leaves of a group are equal. Each
+  step makes two rows of one at most, and only in groups that are too large.
+
+Windows are compared by their words. Hashes only deal them out: 64 bits of a gram, 128 bits of a
+lengthened prefix or of a run.
 """
 
 from __future__ import annotations
@@ -22,12 +27,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, rowwise, texts_of
 
-DEPTH, GRAM, GROUP = 35, 10, 4096
+#: Words of a window and of a gram; runs that one task may take into a subtree.
+DEPTH, GRAM, GROUP = 35, 10, 2048
 _BASE = 0x9E3779B97F4A7C15
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 
@@ -77,9 +83,14 @@ def anchors(hashes: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, np.n
     return grams[place[first]].view(np.int64), place[first], first, np.diff(np.append(first, windows))
 
 
+def _row_id(doc_id: Column, text: Column) -> Column:
+    """128 bits of an id and a text."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), text)))
+
+
 def with_row_id(docs: DataFrame) -> DataFrame:
     """doc_id, text and a row id; equal rows share one, and so share what is found of them."""
-    return texts_of(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("rid"))
+    return texts_of(docs).select("doc_id", "text", _row_id(F.col("doc_id"), F.col("text")).alias("rid"))
 
 
 def prefixes(rows: DataFrame, depth: int, gram: int) -> DataFrame:
@@ -97,17 +108,31 @@ def prefixes(rows: DataFrame, depth: int, gram: int) -> DataFrame:
 
         return work
 
-    return rowwise(rows.select("rid", "text"), "rid long, prefix long, n long", step)
+    return rowwise(rows.select("rid", "text"), "rid binary, prefix long, n long", step)
 
 
-def _hits(row: dict, depth: int, gram: int, crowded: bool) -> Iterator[tuple[np.ndarray, int, int, int, int]]:
-    """Rows of a candidate text whose prefix is repeated: its hashes, prefix, place, first window, windows."""
-    sizes = {h["prefix"]: h["n"] for h in row["hits"] if (h["n"] > GROUP) == crowded}
-    if sizes:
-        hashes = word_hashes(words_of(row["text"]))
-        for prefix, place, first, n in zip(*(a.tolist() for a in anchors(hashes, depth, gram)), strict=True):
-            if prefix in sizes:
-                yield hashes, prefix, place, first, n
+def _runs(candidates: DataFrame, depth: int, gram: int) -> DataFrame:
+    """rid, first, run, prefix, before, n, words: each run of a candidate text whose prefix is repeated.
+
+    `run` names equal runs; window i of it starts before - i words ahead of the gram.
+    """
+
+    def step():
+        import xxhash
+
+        def work(rows: list[dict]) -> list[tuple]:
+            out = []
+            for row in rows:
+                words, wanted = words_of(row["text"]), set(row["hits"])
+                for prefix, place, first, n in zip(*(a.tolist() for a in anchors(word_hashes(words), depth, gram)), strict=True):
+                    if prefix in wanted:
+                        text, before = b" ".join(words[first : first + n + depth - 1]), place - first
+                        out.append((row["rid"], first, xxhash.xxh3_128_digest(text, seed=before), prefix.to_bytes(8, "little", signed=True), before, n, text))
+            return out
+
+        return work
+
+    return rowwise(candidates, "rid binary, first int, run binary, prefix binary, before int, n int, words binary", step)
 
 
 def subtree(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,110 +145,128 @@ def subtree(suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], depths])
 
 
-def deep_leaves(suffixes: np.ndarray) -> np.ndarray:
-    """Whether each suffix lies below an internal node of full depth, that is, has an equal."""
+def deep_leaves(suffixes: np.ndarray, copies: np.ndarray | None = None) -> np.ndarray:
+    """Whether each suffix lies below an internal node of full depth: it has an equal, or copies of its own."""
     order, depths = subtree(suffixes)
     same = depths == suffixes.shape[1]
     below = np.zeros(len(suffixes), bool)
     below[order] = same | np.append(same[1:], False)
-    return below
-
-
-def _subtree_marks(candidates: DataFrame, depth: int, gram: int) -> DataFrame:
-    """rid, first, mask of the rows of prefixes of up to GROUP rows: bit i is the window first + i."""
-
-    def step():
-        def work(rows: list[dict]) -> list[tuple]:
-            out = []
-            for row in rows:
-                for hashes, prefix, place, first, n in _hits(row, depth, gram, False):
-                    low = hashes[first : first + n + depth - 1].astype("<u4")
-                    low[place - first : place - first + gram] = 0  # the prefix says what these are
-                    out.append((prefix, row["rid"], first, n, place - first, low.tobytes()))
-            return out
-
-        return work
-
-    rows = rowwise(candidates, "prefix long, rid long, first int, n int, before int, words binary", step)
-
-    def marks(rows: pa.RecordBatch) -> pa.RecordBatch:
-        """All subtrees of some whole prefixes at once: the prefix leads each suffix, so the sort keeps them apart."""
-        prefix, rid, first, n, before = (rows.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        words = np.frombuffer(b"".join(rows.column(5).to_pylist()), "<u4")
-        starts = np.concatenate([[0], np.cumsum(n + depth - 1)[:-1]])
-        owner = np.repeat(np.arange(len(n)), n)
-        window = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        suffixes = np.empty((len(owner), depth + 3), np.uint32)
-        suffixes[:, :2] = prefix.astype("<i8").view("<u4").reshape(-1, 2)[owner]
-        suffixes[:, 2] = before[owner] - window
-        suffixes[:, 3:] = np.lib.stride_tricks.sliding_window_view(words, depth)[starts[owner] + window]
-        below = deep_leaves(suffixes)
-        masks = np.zeros(len(n), np.int64)
-        np.bitwise_or.at(masks, owner[below], np.int64(1) << window[below])
-        kept = np.flatnonzero(masks)
-        return pa.RecordBatch.from_arrays([pa.array(rid[kept], pa.int64()), pa.array(first[kept], pa.int32()), pa.array(masks[kept], pa.int64())], ["rid", "first", "mask"])
+    return below if copies is None else below | (copies > 1)
+
+
+#: A run within a group: `low` and `high` are the least and the most words before the gram of the windows meant.
+RUN = "run binary, prefix binary, before int, n int, copies long, low int, high int, words binary"
+
+
+def _marks(rows: pa.RecordBatch, depth: int) -> pa.RecordBatch:
+    """run, mask (bit i is its window i) of all subtrees of some whole prefixes at once: the prefix leads each suffix, so the sort keeps them apart."""
+    number: dict[bytes, int] = {}
+    prefix = np.array([number.setdefault(p, len(number)) for p in rows.column("prefix").to_pylist()], np.uint32)
+    names: dict[bytes, int] = {}
+    words = [[names.setdefault(w, len(names)) for w in x.split(b" ")] for x in rows.column("words").to_pylist()]
+    before, n, copies, low, high = (rows.column(c).to_numpy(zero_copy_only=False) for c in ("before", "n", "copies", "low", "high"))
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    flat = np.fromiter((w for x in words for w in x), np.uint32, int(sizes.sum()))
+    start = np.cumsum(sizes) - sizes
+    begin, end = np.maximum(before - high, 0), np.minimum(before - low + 1, n)  # windows of the run that are meant
+    count = np.maximum(end - begin, 0)
+    owner = np.repeat(np.arange(len(n)), count)
+    window = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count) + begin[owner]
+    suffixes = np.empty((len(owner), depth + 2), np.uint32)
+    suffixes[:, 0], suffixes[:, 1] = prefix[owner], before[owner] - window
+    suffixes[:, 2:] = flat[(start[owner] + window)[:, None] + np.arange(depth)]
+    below = deep_leaves(suffixes, copies[owner])
+    masks = np.zeros(len(n), np.int64)
+    np.bitwise_or.at(masks, owner[below], np.int64(1) << window[below])
+    kept = np.flatnonzero(masks)
+    return pa.RecordBatch.from_arrays([rows.column("run").take(pa.array(kept)), pa.array(masks[kept], pa.int64())], ["run", "mask"])
+
+
+def _subtree_marks(rows: DataFrame, depth: int) -> DataFrame:
+    """run, mask of groups of up to GROUP rows (RUN): each prefix is put together in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # rows of the last prefix so far
-        for batch in batches:
-            prefix = batch.column(0).to_numpy()
-            whole = int(np.searchsorted(prefix, prefix[-1])) if len(prefix) else 0  # rows before the last prefix
-            if held and len(prefix) and held[-1].column(0)[0].as_py() != prefix[0]:
-                yield from each(held)
-                held = []
-            if whole:
-                yield from each([*held, batch.slice(0, whole)])
-                held = []
-            if batch.num_rows > whole:
-                held.append(batch.slice(whole))
+        for whole in batches:
+            for batch in (whole.slice(at, GROUP) for at in range(0, whole.num_rows, GROUP)):
+                prefix = batch.column("prefix").to_pylist()
+                last = prefix.index(prefix[-1])  # rows before the last prefix; they are in order
+                if held and held[-1].column("prefix")[0].as_py() != prefix[0]:
+                    yield from each(held)
+                    held = []
+                if last:
+                    yield from each([*held, batch.slice(0, last)])
+                    held = []
+                held.append(batch.slice(last))
         if held:
             yield from each(held)
 
     def each(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pa.Table.from_batches(parts).combine_chunks().to_batches():
-            yield marks(part)
+        yield _marks(pa.concat_batches(parts), depth)
 
-    return rows.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "rid long, first int, mask long")
+    return rows.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "run binary, mask long")
 
 
-def _crowded_leaves(candidates: DataFrame, depth: int, gram: int) -> DataFrame:
-    """window, n, places (rid, first): the windows of prefixes of over GROUP rows, each by a hash of all its words.
-
-    Places of one window in the few texts handled together share a row, so what a passage in a third
-    of all texts sends on is a fraction of its places.
-    """
+def _lengthened(rows: DataFrame, depth: int, gram: int) -> DataFrame:
+    """rows (RUN) with longer prefixes: the windows of each half of low to high, where a run has any."""
 
     def step():
+        import xxhash
+
         def work(rows: list[dict]) -> list[tuple]:
-            places: dict[int, list[tuple[int, int]]] = {}
-            for row in rows:
-                whole = None
-                for hashes, _, _, first, n in _hits(row, depth, gram, True):
-                    whole = stretches(hashes, depth).view(np.int64) if whole is None else whole
-                    for i, w in enumerate(whole[first : first + n].tolist()):
-                        places.setdefault(w, []).append((row["rid"], first + i))
-            return [(w, len(p), [{"rid": r, "first": f} for r, f in p]) for w, p in places.items()]
+            out = []
+            for r in rows:
+                words, middle = r["words"].split(b" "), (r["low"] + r["high"]) // 2
+                for low, high in ((r["low"], middle), (middle + 1, r["high"])):
+                    if max(low, r["before"] - r["n"] + 1) <= min(high, r["before"]):
+                        shared = words[r["before"] - low : r["before"] + depth - high]
+                        out.append((r["run"], xxhash.xxh3_128_digest(b" ".join(shared), seed=low << 32 | high), r["before"], r["n"], r["copies"], low, high, r["words"]))
+            return out
 
         return work
 
-    return rowwise(candidates, "window long, n long, places array<struct<rid: long, first: int>>", step)
+    return rowwise(rows, RUN, step)
+
+
+def run_marks(runs: DataFrame, scratch: Scratch, depth: int, gram: int) -> DataFrame:
+    """run, mask: the windows of each distinct run that occur twice or more; bit i is window i."""
+    reach = depth - gram
+    distinct = runs.groupBy("run").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("prefix", "before", "n", "words")])
+    rows = scratch.table(distinct.select("run", "prefix", "before", "n", "copies", F.lit(0).alias("low"), F.lit(reach).alias("high"), "words"), "runs-0")
+    found = []
+    span = reach + 1  # windows a prefix of this length may lead
+    for level in range(1, depth + 1):
+        sizes = rows.groupBy("prefix").agg(F.count("*").alias("rows"), F.sum("copies").alias("copies")).filter("copies > 1")
+        sizes = scratch.table(sizes, f"sizes-{level}")
+        small = rows.join(sizes.filter(F.col("rows") <= GROUP).select("prefix"), "prefix", "left_semi").select(*rows.columns)
+        found.append(scratch.table(_subtree_marks(small, depth), f"subtrees-{level}"))
+        large = sizes.filter(F.col("rows") > GROUP).select("prefix")
+        if large.isEmpty():
+            break
+        large = rows.join(large, "prefix", "left_semi").select(*rows.columns)
+        if span == 1:  # the prefix is the whole window
+            found.append(large.select("run", F.expr("shiftleft(1L, before - low)").alias("mask")))
+            break
+        rows, span = scratch.table(_lengthened(large, depth, gram), f"runs-{level}"), -(-span // 2)
+        scratch.drop(f"runs-{level - 1}", f"sizes-{level}")
+    marks = found[0]
+    for more in found[1:]:
+        marks = marks.unionByName(more)
+    return marks.groupBy("run").agg(F.bit_or("mask").alias("mask"))
 
 
 def removals(rows: DataFrame, scratch: Scratch, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
-    """rid, n_removed, kept (the words that stay, joined by one space) of the texts that lose words."""
+    """rid, n_removed, spans (first word, number of words) and kept (the words that stay, joined by one space) of the texts that lose words."""
     found = scratch.table(prefixes(rows, depth, gram), "found")
-    counts = found.groupBy("prefix").agg(F.sum("n").alias("n")).filter("n > 1")
-    repeated = scratch.table(counts, "prefixes")
+    repeated = scratch.table(found.groupBy("prefix").agg(F.sum("n").alias("n")).filter("n > 1").select("prefix"), "prefixes")
     hits = found.select("rid", "prefix").join(repeated, "prefix")
-    hits = scratch.table(hits.groupBy("rid").agg(F.collect_list(F.struct("prefix", "n")).alias("hits")), "hits")
+    hits = scratch.table(hits.groupBy("rid").agg(F.collect_set("prefix").alias("hits")), "hits")
     candidates = scratch.table(rows.select("rid", "text").join(hits, "rid"), "candidates")
-    leaves = _crowded_leaves(candidates, depth, gram)
-    leaves = scratch.table(leaves, "leaves")
-    repeats = scratch.table(leaves.groupBy("window").agg(F.sum("n").alias("n")).filter("n > 1").select("window"), "windows")
-    places = leaves.join(repeats, "window").select(F.explode("places").alias("p"))
-    crowded = places.select("p.rid", "p.first", F.lit(1).cast("long").alias("mask"))
-    marks = _subtree_marks(candidates, depth, gram).unionByName(crowded)
-    marks = scratch.table(marks.groupBy("rid").agg(F.collect_list(F.struct("first", "mask")).alias("marks")), "marks")
+    runs = scratch.table(_runs(candidates, depth, gram), "runs")
+    scratch.drop("found", "prefixes", "hits")
+    masks = scratch.table(run_marks(runs, scratch, depth, gram), "masks")
+    marks = runs.select("run", "rid", "first").join(masks, "run")
+    marks = scratch.table(marks.groupBy("rid").agg(F.collect_set(F.struct("first", "mask")).alias("marks")), "marks")
 
     def step():
         def work(rows: list[dict]) -> list[tuple]:
@@ -240,13 +283,18 @@ def removals(rows: DataFrame, scratch: Scratch, depth: int = DEPTH, gram: int =
                         mask &= mask - 1
                 gone = np.cumsum(edges[:-1]) > 0
                 kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-                out.append((row["rid"], int(gone.sum()), kept.decode("utf-8", "surrogatepass")))
+                turns = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]))).tolist()
+                spans = [{"first": a, "words": b - a} for a, b in zip(turns[::2], turns[1::2], strict=True)]
+                out.append((row["rid"], int(gone.sum()), spans, kept.decode("utf-8", "surrogatepass")))
             return out
 
         return work
 
     losing = candidates.select("rid", "text").join(marks, "rid")
-    return scratch.table(rowwise(losing, "rid long, n_removed long, kept string", step), "removals")
+    lost = rowwise(losing, "rid binary, n_removed long, spans array<struct<first: int, words: int>>, kept string", step)
+    lost = scratch.table(lost.dropDuplicates(["rid"]), "removals")
+    scratch.drop("candidates", "runs", "masks", "marks")
+    return lost
 
 
 def digests(docs: DataFrame, spark: SparkSession, depth: int = DEPTH) -> DataFrame:
@@ -257,7 +305,7 @@ def digests(docs: DataFrame, spark: SparkSession, depth: int = DEPTH) -> DataFra
     Windows are judged on the input. Other columns are not read. No rows: no rows.
     """
     rows = with_row_id(docs)
-    lost = removals(rows, Scratch(spark, "substring"), depth).dropDuplicates(["rid"])
+    lost = removals(rows, Scratch(spark, "substring"), depth)
 
     def whole():
         def work(rows: list[dict]) -> list[tuple]:
@@ -269,14 +317,21 @@ def digests(docs: DataFrame, spark: SparkSession, depth: int = DEPTH) -> DataFra
 
         return work
 
-    every = rowwise(rows, "doc_id long, rid long, n_words long, sha string", whole)
+    every = rowwise(rows, "doc_id long, rid binary, n_words long, sha string", whole)
     lost = lost.select("rid", "n_removed", F.sha2("kept", 256).alias("lost_sha"))
     return every.join(lost, "rid", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("lost_sha", "sha").alias("kept_sha256"))
 
 
+def repeated_spans(docs: DataFrame, spark: SparkSession, depth: int = DEPTH) -> DataFrame:
+    """doc_id, first, words: each longest stretch of words that repeated windows cover; none of a null or short text."""
+    rows = with_row_id(docs)
+    lost = removals(rows, Scratch(spark, "substring"), depth).select("rid", F.explode("spans").alias("s"))
+    return rows.select("doc_id", "rid").join(lost, "rid").select("doc_id", "s.first", "s.words")
+
+
 def without_repeats(docs: DataFrame, spark: SparkSession, depth: int = DEPTH) -> DataFrame:
-    """docs with the repeated windows out of `text`; a text that loses nothing stays as it is."""
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    lost = removals(with_row_id(docs), Scratch(spark, "substring"), depth).dropDuplicates(["rid"]).select(F.col("rid").alias("key"), "kept")
+    """docs with the repeated windows out of `text`; a text that loses nothing stays as it is, null texts and ids too."""
+    key = _row_id(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    lost = removals(with_row_id(docs), Scratch(spark, "substring"), depth).select(F.col("rid").alias("key"), "kept")
     joined = docs.select(F.struct("*").alias("row"), key.alias("key")).join(lost, "key", "left")  # whole rows, so no name clashes
     return joined.select(*[(F.coalesce("kept", F.col("row.text")) if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

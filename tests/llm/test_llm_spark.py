@@ -91,7 +91,7 @@ def expected_removals(texts, depth=35):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("group", [4096, 1])
+@pytest.mark.parametrize("group", [2048, 3, 1])
 def test_substring_removal_equals_brute_force(spark, monkeypatch, group):
     monkeypatch.setattr(substring, "GROUP", group)
     r = random.Random(4)
