@@ -20,9 +20,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import Scratch, rowwise, texts_of
 from .encoding import Encoder
 
-CAPACITY, OPEN_BINS = 4096, 4096
-#: Tokens packed by one task. It fills about 3,000 sequences, fewer than the bins it may hold open, so
-#: decreasing lengths don't close bins early; what its last bins leave free is a small part of them.
+CAPACITY, OPEN_BINS = 4096, 64
+#: Tokens packed by one task: about 3,000 sequences, so what its last open bins leave free is a small part of them.
 TASK_TOKENS = 12 << 20
 
 
@@ -89,9 +88,9 @@ def pack(pieces: DataFrame, spark: SparkSession, capacity: int = CAPACITY, open_
     """Adds sequence_id and offset to pieces (doc_id, piece, length, ...); every other column passes.
 
     `pieces` is read twice, so hand over a written table. Pieces are dealt evenly by a hash of their
-    key to tasks of about TASK_TOKENS tokens and packed there in decreasing length, in
-    an order that depends on the rows alone, so that a lost task gives the same rows again. No rows:
-    no rows.
+    key to tasks of about TASK_TOKENS tokens. There they arrive in the order of that hash, which depends on
+    the rows alone, so that a lost task gives the same rows again, and each is placed as it comes. Rows of one
+    key are dealt as equals. No rows: no rows.
     """
     total = pieces.agg(F.sum("length")).first()[0] or 0
     tasks = max(1, -(-total // TASK_TOKENS))
@@ -99,7 +98,7 @@ def pack(pieces: DataFrame, spark: SparkSession, capacity: int = CAPACITY, open_
     arrow = to_arrow_schema(schema)
     key = F.xxhash64("doc_id", "piece", "length")
     dealt = pieces.withColumn("_task", F.pmod(key, F.lit(tasks)).cast("int")).repartition(tasks, "_task")
-    ordered = dealt.sortWithinPartitions("_task", F.desc("length"), key)
+    ordered = dealt.sortWithinPartitions("_task", key, "length")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, bins = None, None
@@ -119,6 +118,10 @@ def pack(pieces: DataFrame, spark: SparkSession, capacity: int = CAPACITY, open_
 
 
 def packed_documents(docs: DataFrame, spark: SparkSession, vocabulary: str | None = None, end_id: int = 1, capacity: int = CAPACITY, open_bins: int = OPEN_BINS) -> DataFrame:
-    """Where each piece of each document lies: token_pieces() and then pack()."""
+    """Where each piece of each document lies: token_pieces() and then pack().
+
+    A null or empty text is its end id alone; a text of any length is cut only where it passes `capacity`.
+    Rows that share a doc_id are packed each. Columns but doc_id and text are not read. No rows: no rows.
+    """
     pieces = Scratch(spark, "packing").table(token_pieces(docs, vocabulary, end_id, capacity), "pieces")
     return pack(pieces, spark, capacity, open_bins)
