@@ -41,7 +41,9 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         raise ValueError("not Netpbm")
     bitmap, colours = kind in (b"P1", b"P4"), 3 if kind in (b"P3", b"P6") else 1
     (width, height, *most), at = _header(data, 2 if bitmap else 3)
-    n = width * height * colours
+    n, top = width * height * colours, most[0] if most else 1
+    if not 0 < top < 1 << 16 or n > 8 * len(data):
+        raise ValueError("a Netpbm header that its bytes don't bear out")
     if kind == b"P4":
         stride = -(-width // 8)
         rows = np.unpackbits(np.frombuffer(data, np.uint8, stride * height, at).reshape(height, stride), axis=1)
@@ -50,9 +52,12 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         digits = [c - 48 for c in data[at:] if c in b"01"]
         return 1 - np.array(digits[:n], np.uint8).reshape(height, width)
     if kind in (b"P2", b"P3"):
-        flat = np.array(data[at:].split()[:n], np.uint16 if most[0] > 255 else np.uint8)
+        samples = [int(x) for x in data[at:].split()[:n]]
+        if samples and not 0 <= min(samples) <= max(samples) <= top:
+            raise ValueError("a Netpbm sample out of range")
+        flat = np.array(samples, np.uint16 if top > 255 else np.uint8)
     else:
-        flat = np.frombuffer(data, ">u2" if most[0] > 255 else np.uint8, n, at)
+        flat = np.frombuffer(data, ">u2" if top > 255 else np.uint8, n, at)
     return flat.reshape((height, width, 3) if colours == 3 else (height, width))
 
 
@@ -70,6 +75,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if packing not in (0, 3) or bits not in (8, 24, 32):
         raise ValueError("BMP kind not supported")
     rows, stride = abs(height), -(-width * bits // 32) * 4
+    if width <= 0 or rows * stride > len(data):
+        raise ValueError("a BMP header that its bytes don't bear out")
     raw = np.frombuffer(data, np.uint8, stride * rows, at).reshape(rows, stride)
     raw = raw if height < 0 else raw[::-1]
     if bits == 8:
@@ -125,7 +132,8 @@ def npy_tile(image: np.ndarray, rows: int = TILE[0], columns: int = TILE[1]) ->
 def media_features(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """doc_id, rows, columns, feature (difference hash) and tile (NPY bytes) of a column of images.
 
-    Null, unreadable or empty images keep their row with nulls in all columns but the id.
+    Null, unreadable, cut or empty images, and those whose header or samples are out of range, keep their
+    row with nulls in all columns but the id. Other columns are not read. No rows: no rows.
     """
 
     def step():
@@ -135,7 +143,7 @@ def media_features(df: DataFrame, id_col: str = "doc_id", media_col: str = "medi
                 try:
                     image = decode_image(row["media"] or b"")
                     out.append((row["doc_id"], *image.shape[:2], difference_hash(image), npy_tile(image)))
-                except (ValueError, IndexError, struct.error):
+                except (ValueError, IndexError, OverflowError, struct.error):
                     out.append((row["doc_id"], None, None, None, None))
             return out
 
