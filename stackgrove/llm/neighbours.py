@@ -112,7 +112,13 @@ class Cells:
         return (gap**2).sum(axis=2)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The vectors times powers of two that bring their largest components near 1: exact, and squares stay finite."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
+    vectors = scaled(vectors)
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
 
 
@@ -160,7 +166,8 @@ def nearest(df: DataFrame, spark: SparkSession, every: int = 50, id_col: str = "
 
     score is the cosine in double precision, of the original vectors. Null and zero vectors and those with null
     or non-finite components take no part; vectors of another length than most of the sample's
-    neither. A query with no other vector gives no rows. Rows that share an id count once.
+    neither. A query with no other vector gives no rows. Of rows that share an id the one of the least bytes counts.
+    Other columns are not read. No rows: no rows.
     """
     scratch = Scratch(spark, "neighbours")
     rows = usable(df, id_col, vector_col)
@@ -185,7 +192,8 @@ def nearest(df: DataFrame, spark: SparkSession, every: int = 50, id_col: str = "
 
         return work
 
-    placed = scratch.table(rowwise(rows, "id long, cell int, v binary", place).dropDuplicates(["id"]), "placed")
+    least = rowwise(rows, "id long, cell int, v binary", place).groupBy("id").agg(F.min(F.struct("v", "cell")).alias("m"))
+    placed = scratch.table(least.select("id", "m.cell", "m.v"), "placed")
     # a cell that many vectors share is cut into blocks by a hash of the id; one row of counts for each cell
     sizes = F.broadcast(placed.groupBy("cell").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / (2 * BLOCK)).cast("int")).select("cell", "blocks"))
     blocked = placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
@@ -239,7 +247,7 @@ def nearest(df: DataFrame, spark: SparkSession, every: int = 50, id_col: str = "
 
     def exact():
         def work(rows: list[dict]) -> list[tuple]:
-            x, y = np.array([np.frombuffer(r["qv"]) for r in rows]), np.array([np.frombuffer(r["cv"]) for r in rows])
+            x, y = (scaled(np.array([np.frombuffer(r[c]) for r in rows])) for c in ("qv", "cv"))
             score = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1)) / np.sqrt((y * y).sum(axis=1))
             return [(r["query_id"], r["vec_id"], s) for r, s in zip(rows, score.tolist(), strict=True)]
 
