@@ -33,8 +33,13 @@ SAMPLES = ["test", "tests", "example", "examples", "doc", "docs", "fixture", "fi
 RUN = re.compile(r"[A-Za-z0-9_\-+/=.~]{8,}")
 #: What keys of known services begin with.
 PREFIX = re.compile(r"AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk[_-]|pk_live|rk_live|AIza|eyJ|-----BEGIN|glpat-|npm_")
-BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----")
+#: A private key with whatever header lines it has.
+BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----(?:(?!-----BEGIN)[\s\S])*?-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----")
 NAMED = re.compile(r"(?i)(" + "|".join(map(re.escape, NAMES)) + r")[\w\-]{0,20}[\"']?\s*[:=]{1,2}>?\s*[\"']?$")
+#: The whole value that a name of a secret is given, of any signs: quoted, or up to a blank.
+VALUE = re.compile(r"(?i)(?:" + "|".join(map(re.escape, NAMES)) + r")[\w\-]{0,20}[\"']?\s*[:=]{1,2}>?\s*(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|([^\s\"',;]{6,}))")
+#: The password of a URL.
+URL = re.compile(r"://[^\s/:@]+:([^\s/@]{4,})@")
 #: Characters read before and after a candidate.
 AROUND = 48
 KINDS = 5
@@ -54,14 +59,26 @@ class Finding:
 
 def candidates(text: str) -> list[Finding]:
     """Strings of the text that may be secrets, in order, without overlap."""
-    found, blocks = [], [(m.start(), m.end()) for m in BLOCK.finditer(text)]
-    for a, b in blocks:
-        found.append((a, b))
+    low, found, taken = text.lower(), [], bytearray()
+
+    def take(a: int, b: int) -> None:
+        taken.extend(bytes(len(text) - len(taken)))
+        if 1 not in taken[a:b]:
+            taken[a:b] = b"\1" * (b - a)
+            found.append((a, b))
+
+    for m in BLOCK.finditer(text) if "-----BEGIN" in text else ():
+        take(*m.span())
+    for m in URL.finditer(text) if "://" in text and "@" in text else ():
+        take(*m.span(1))
+    for m in VALUE.finditer(text) if any(name in low for name in NAMES) else ():
+        a, b = m.span(m.lastindex)
+        take(a, b if m.lastindex < 3 else a + len(m.group(3).rstrip(".:!?)]")))
     for m in RUN.finditer(text):
         a, b = m.span()
         value = m.group().rstrip(".")
         b = a + len(value)
-        if any(a < y and b > x for x, y in blocks):
+        if 1 in taken[a:b]:
             continue
         head, sign, tail = value.rpartition("=")
         if sign and tail and re.search("(?i)" + "|".join(map(re.escape, NAMES)), head):
@@ -98,7 +115,7 @@ def _kind(c: str) -> int:
 
 
 def features(finding: Finding, path: str) -> list[float]:
-    v = finding.value[:400]
+    v = finding.value
     kinds = [_kind(c) for c in v]
     moves = Counter(zip(kinds, kinds[1:], strict=False))
     n = len(v)
@@ -180,8 +197,11 @@ class Forest:
         return total / len(self.nodes)
 
 
-def labelled_findings(n: int = 3000, seed: int = SEED) -> list[tuple[str, str, int]]:
-    """Contexts with one candidate each as (text, path, whether it is a secret), half and half."""
+def labelled_findings(n: int = 4000, seed: int = SEED) -> list[tuple[str, str, int]]:
+    """Contexts with one candidate each as (text, path, whether it is a secret), half and half.
+
+    The shapes are those of published key formats and of usual configuration files.
+    """
     r = np.random.default_rng(seed)
     words = sorted(dictionary())
 
@@ -207,6 +227,11 @@ def labelled_findings(n: int = 3000, seed: int = SEED) -> list[tuple[str, str, i
         lambda: one(assign).format(n=one(NAMES), v=pick(alnum, int(r.integers(12, 48)))),
         lambda: one(assign).format(n=one(NAMES), v=pick(hexes, int(r.integers(16, 20)))),
         lambda: one(assign).format(n=one(NAMES), v=base64.b64encode(r.bytes(int(r.integers(18, 40)))).decode()),
+        lambda: one(assign).format(n=one(NAMES[:3]), v=one(words) + pick(string.digits, int(r.integers(1, 5)))),
+        lambda: one(assign).format(n=one(NAMES[:3]), v=one(words) + one(words) + one(["", "!", "1"])),
+        lambda: one(assign).format(n=one(NAMES[:4]), v=one(words).capitalize() + pick("!@#$%&*?", int(r.integers(1, 3))) + pick(alnum, int(r.integers(3, 9)))),
+        lambda: one(["postgres", "https", "mysql", "amqp"]) + "://" + one(words) + ":" + one(words) + pick(alnum, 5) + "@" + one(words) + ".com/" + one(words),
+        lambda: "-----BEGIN RSA PRIVATE KEY-----\n" + one(["", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC," + pick(hexes.upper(), 32) + "\n\n"]) + base64.b64encode(r.bytes(200)).decode() + "\n-----END RSA PRIVATE KEY-----",
     ]
     others = [
         lambda: one(OTHERS[:6]) + " " + pick(hexes, one([32, 40, 64])),
@@ -215,8 +240,10 @@ def labelled_findings(n: int = 3000, seed: int = SEED) -> list[tuple[str, str, i
         lambda: "_".join(one(words) for _ in range(3)) + str(r.integers(1000)),
         lambda: "/".join(one(words) for _ in range(4)) + "/" + str(r.integers(10000)),
         lambda: one(words).capitalize() + one(words).capitalize() + one(words).capitalize() + str(r.integers(100)),
-        lambda: one(assign).format(n=one(NAMES), v=one(["changeme", "your-token-here", "xxxxxxxxxxxx", "example-password", "<password>", "placeholder1234", "12345678"])),
-        lambda: one(assign).format(n=one(NAMES), v="_".join(one(words) for _ in range(3))),
+        lambda: one(assign).format(n=one(NAMES), v=one(["changeme", "your-token-here", "xxxxxxxxxxxx", "example-password", "<password>", "placeholder1234", "********", "$" + "{" + one(words).upper() + "}", "os.environ['" + one(words).upper() + "']", "process.env." + one(words).upper(), "required", "string"])),
+        lambda: one(["https", "postgres"]) + "://" + one(["user", "username"]) + ":" + one(["password", "<password>", "$" + "{PASSWORD}"]) + "@" + one(["localhost", "host", "example.com"]) + "/" + one(words),
+        lambda: one(assign).format(n=one(NAMES[3:]), v="_".join(one(words) for _ in range(3))),
+        lambda: one(assign).format(n=one(NAMES[3:]), v=one(words)),
         lambda: one(words) + "." + one(words) + "." + pick(string.digits, 2) + "-" + one(words) + ".com",
         lambda: "v" + ".".join(str(r.integers(100)) for _ in range(3)) + "-" + one(words) + pick(string.digits, 8),
         lambda: "https://" + one(words) + ".org/" + one(words) + "/" + pick(string.digits, 8) + "?" + one(words) + "=" + pick(hexes, 8),
@@ -226,7 +253,7 @@ def labelled_findings(n: int = 3000, seed: int = SEED) -> list[tuple[str, str, i
     for k in range(n):
         secret = k % 2
         part = one(secrets if secret else others)()
-        path = one(["src", "config", "app", "web", "src1", "src7", ""] if secret or r.random() < 0.6 else SAMPLES)
+        path = one(["src", "config", "app", "web", ""] if secret or r.random() < 0.6 else SAMPLES)
         out.append((f"{prose()} {part} {prose()}", path, secret))
     return out
 
@@ -255,8 +282,9 @@ def secrets_in(text: str, path: str, forest: Forest, threshold: float = THRESHOL
 def secret_findings(docs: DataFrame, spark: SparkSession, path_col: str = "source", forest: Forest | None = None) -> DataFrame:
     """doc_id, start, end (code points of the whole text), value_sha256, score: a row for each secret.
 
-    Null and empty texts and those without secrets give no rows; a null path is an empty one. Rows
-    that share a doc_id are scanned each. Values are given as digests only.
+    Null and empty texts and those without secrets give no rows; a null path is an empty one. A text or a
+    value of any length is read whole. Rows that share a doc_id are scanned each. Values are given as digests
+    only. Other columns are not read. No rows: no rows.
     """
     shared = spark.sparkContext.broadcast(forest or default_forest())
 
