@@ -9,14 +9,14 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import rowwise, texts_of
+from .common import Scratch, rowwise, texts_of
 
 PASSAGE, CODE, GATE = 40, 24, 16
-#: Labelled rows and passages of each that training takes at most; scoring takes all.
-TRAIN_ROWS, TRAIN_PASSAGES = 4000, 48
+#: Labelled rows that training takes, and passages in all of them at most; a row is taken whole or not at all.
+TRAIN_ROWS, TRAIN_PASSAGES = 4000, 100_000
 EPOCHS, BATCH, RATE, DECAY, SEED = 40, 128, 0.01, 1e-4, 7
 THRESHOLD = 0.7
 #: Kinds of bytes: lower and upper case, digit, space, sentence mark, other sign, beyond ASCII.
@@ -130,28 +130,35 @@ def held_out(id_col: str = "doc_id"):
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> DataFrame:
     """doc_id, text, label of at most `rows` training rows, those of the smallest hashes of their ids.
 
-    The sample is bounded by `rows` and so may be broadcast to find its texts.
+    Of several labels of an id the largest holds. The chosen labels are bounded by `rows` and so may be
+    broadcast to find their texts; ids that many texts share are bounded after that once more.
     """
-    chosen = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna().filter(~held_out()).dropDuplicates(["doc_id"])
-    return texts_of(docs).join(F.broadcast(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)), "doc_id")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).dropna().filter(~held_out())
+    chosen = known.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    found = texts_of(docs).join(F.broadcast(chosen), "doc_id")
+    return found.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "text").limit(rows)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS) -> AttentionModel | None:
-    """The model, or None where no labelled row is left to learn from."""
+def within(rows: DataFrame, size: str, most: int, *order: Column | str) -> DataFrame:
+    """The first rows in that order whose `size` sums up to `most`, one at least; for tables whose rows a parameter bounds."""
+    total = F.sum(size).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("_total", total).filter((F.col("_total") <= most) | (F.col("_total") == F.col(size))).drop("_total")
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = TRAIN_ROWS, most: int = TRAIN_PASSAGES) -> AttentionModel | None:
+    """The model from at most `rows` labelled rows with `most` passages in all, or None where no labelled row is left to learn from."""
 
     def step():
         def work(rows: list[dict]) -> list[tuple]:
-            out = []
-            for row in rows:
-                x = passages(row["text"])
-                if len(x) > TRAIN_PASSAGES:
-                    x = x[np.linspace(0, len(x) - 1, TRAIN_PASSAGES).astype(int)]
-                out.append((row["doc_id"], row["label"], x.astype("<f4").tobytes()))
-            return out
+            found = [(row, passages(row["text"])) for row in rows]
+            return [(row["doc_id"], row["label"], len(x), x.astype("<f4").tobytes()) for row, x in found]
 
         return work
 
-    found = rowwise(labelled_sample(docs, labels, label, rows), "doc_id long, label int, x binary", step).collect()
+    scratch = Scratch(docs.sparkSession, "quality")
+    bags = scratch.table(rowwise(labelled_sample(docs, labels, label, rows), "doc_id long, label int, size long, x binary", step), "bags")
+    found = within(bags, "size", most, F.xxhash64("doc_id"), "doc_id", "x").collect()
+    scratch.clear()
     if not found:
         return None
     found.sort(key=lambda r: (r["doc_id"], r["x"]))
