@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -92,6 +92,12 @@ def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", em
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.coalesce(text, F.lit("")) if empty else text).alias("text"))
 
 
+def row_id(doc_id: Column, text: Column) -> Column:
+    """128 bits that name an id and a text; a null text is an empty one."""
+    parts = F.coalesce(doc_id.cast("long").cast("string"), F.lit("-")), F.coalesce(text.cast("string"), F.lit(""))
+    return F.unhex(F.md5(F.concat_ws(":", *parts)))
+
+
 def rowwise(df: DataFrame, schema: str, step: Callable[[], Callable[[list[dict]], list[tuple]]]) -> DataFrame:
     """Runs step() once in each task; what it returns maps a few input rows to tuples of `schema`.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, rowwise, texts_of
+from .common import Scratch, row_id, rowwise, texts_of
 from .components import components
 
 BITS, WORDS, SEED, DISTANCE = 64, 3, 42, 2
@@ -47,12 +47,13 @@ def fingerprint(text: str) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, fp of every row of docs; a null text is empty."""
+    """rid (see row_id), doc_id, fp of every row of docs; a null text is empty."""
 
     def step():
-        return lambda rows: [(row["doc_id"], fingerprint(row["text"])) for row in rows]
+        return lambda rows: [(row["rid"], row["doc_id"], fingerprint(row["text"])) for row in rows]
 
-    return rowwise(texts_of(docs), "doc_id long, fp long", step)
+    rows = texts_of(docs).select(row_id(F.col("doc_id"), F.col("text")).alias("rid"), "doc_id", "text")
+    return rowwise(rows, "rid binary, doc_id long, fp long", step)
 
 
 def bit_statistics(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -173,18 +174,38 @@ def links(nodes: DataFrame, scratch: Scratch, distance: int = DISTANCE) -> DataF
     return near.unionByName(far).distinct()
 
 
+def classes(docs: DataFrame, spark: SparkSession, distance: int = DISTANCE) -> DataFrame:
+    """rid, doc_id, fp, component (its smallest fingerprint), component_id (its smallest doc_id) of every row of docs."""
+    scratch = Scratch(spark, "simhash")
+    each = scratch.table(fingerprints(docs), "fingerprints")
+    nodes = scratch.table(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    named = components(links(nodes.select(F.col("fp").alias("node"), "fp"), scratch, distance), scratch)
+    found = nodes.join(named.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+    found = scratch.table(found, "components")
+    firsts = found.groupBy("component").agg(F.min("first").alias("component_id"))
+    found = scratch.table(found.join(firsts, "component").select("fp", "component", "component_id"), "classes")
+    return each.join(found, "fp").select("rid", "doc_id", "fp", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, spark: SparkSession, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint, component_id of every row of docs.
 
     A null or empty text has fingerprint zero and is linked like any other. Rows that share a
-    doc_id each have a row; a null doc_id keeps its row but names no component. Other columns are
-    not read. No rows: no rows.
+    doc_id each have a row; a null doc_id keeps its row but names no component, so one without any id has a
+    null component_id. Other columns are not read. No rows: no rows.
     """
-    scratch = Scratch(spark, "simhash")
-    each = scratch.table(fingerprints(docs), "fingerprints")
-    nodes = scratch.table(each.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    named = components(links(nodes.filter("node is not null"), scratch, distance), scratch)
-    classes = nodes.join(named, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    classes = scratch.table(classes, "classes")
-    found = each.join(classes, "fp")
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return classes(docs, spark, distance).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, spark: SparkSession, distance: int = DISTANCE) -> DataFrame:
+    """The rows of docs, all columns, that stand for their component: one each, that of the smallest doc_id.
+
+    Rows with an id come before those without; of rows that share that id the one of the least text hash
+    stands, and of rows equal in id and text that of the least hash of all columns but maps. No rows: no rows.
+    """
+    found = classes(docs, spark, distance)
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "rid")).alias("m")).select(F.col("m.rid").alias("rid"))
+    plain = [F.col(f"row.`{f.name}`") for f in docs.schema.fields if "map" not in f.dataType.simpleString()]
+    rows = docs.select(F.struct("*").alias("row"), row_id(F.col("doc_id"), F.col("text")).alias("rid"))
+    ones = rows.join(Scratch(spark, "one-of-each").table(kept, "kept"), "rid", "left_semi").groupBy("rid").agg(F.min_by("row", F.xxhash64(*plain)).alias("row"))
+    return ones.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

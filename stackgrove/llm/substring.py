@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, rowwise, texts_of
+from .common import Scratch, row_id, rowwise, texts_of
 
 #: Words of a window and of a gram; runs that one task may take into a subtree.
 DEPTH, GRAM, GROUP = 35, 10, 2048
@@ -83,14 +83,9 @@ def anchors(hashes: np.ndarray, depth: int, gram: int) -> tuple[np.ndarray, np.n
     return grams[place[first]].view(np.int64), place[first], first, np.diff(np.append(first, windows))
 
 
-def _row_id(doc_id: Column, text: Column) -> Column:
-    """128 bits of an id and a text."""
-    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("-")), text)))
-
-
 def with_row_id(docs: DataFrame) -> DataFrame:
     """doc_id, text and a row id; equal rows share one, and so share what is found of them."""
-    return texts_of(docs).select("doc_id", "text", _row_id(F.col("doc_id"), F.col("text")).alias("rid"))
+    return texts_of(docs).select("doc_id", "text", row_id(F.col("doc_id"), F.col("text")).alias("rid"))
 
 
 def prefixes(rows: DataFrame, depth: int, gram: int) -> DataFrame:
@@ -331,7 +326,7 @@ def repeated_spans(docs: DataFrame, spark: SparkSession, depth: int = DEPTH) ->
 
 def without_repeats(docs: DataFrame, spark: SparkSession, depth: int = DEPTH) -> DataFrame:
     """docs with the repeated windows out of `text`; a text that loses nothing stays as it is, null texts and ids too."""
-    key = _row_id(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
+    key = row_id(F.col("doc_id"), F.col("text"))
     lost = removals(with_row_id(docs), Scratch(spark, "substring"), depth).select(F.col("rid").alias("key"), "kept")
     joined = docs.select(F.struct("*").alias("row"), key.alias("key")).join(lost, "key", "left")  # whole rows, so no name clashes
     return joined.select(*[(F.coalesce("kept", F.col("row.text")) if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -27,7 +27,7 @@ from .quality import held_out, labelled_sample, within
 #: Labelled rows to learn from and distinct terms in all of them at most (whole rows), neighbours that vote, examples in a block.
 TRAIN_ROWS, TRAIN_TERMS, NEIGHBOURS, BLOCK = 2048, 4_000_000, 15, 64
 #: Share of the examples from which on a term is a row of the index's table; queries answered at once.
-DENSE, QUERIES = 0.125, 32
+DENSE, QUERIES = 0.06, 32
 #: Length of the word beginnings that are terms too, and what ends them.
 BEGINNING, MARK = 5, "*"
 #: How strongly the gain of a term raises its weight; texts of the overall share added to a term's own.
@@ -40,9 +40,19 @@ WORD = re.compile(r"[^\W\d_]+")
 KEPT = 50_000
 
 
+def words_of(text: str) -> Counter:
+    """How often each match of WORD occurs in the whole text; most stretches between blanks are one already."""
+    words = Counter(text.lower().split())
+    for part in [p for p in words if not p.isalpha()]:
+        n = words.pop(part)
+        for word in WORD.findall(part):
+            words[word] += n
+    return words
+
+
 def terms_of(text: str) -> Counter:
     """How often each term occurs in the whole text."""
-    words = Counter(WORD.findall(text.lower()))
+    words = words_of(text)
     out = Counter(words)
     for word, n in words.items():
         if len(word) > BEGINNING:
@@ -61,13 +71,13 @@ class Numbers:
         return np.array([*map(self.words.get, words, repeat(-1)), *map(self.beginnings.get, long, repeat(-1))], np.int64)
 
     def present(self, text: str) -> np.ndarray:
-        words = set(WORD.findall(text.lower()))
+        words = words_of(text)
         found = self._of(words, list({w[:BEGINNING] for w in words if len(w) > BEGINNING}))
         return found[found >= 0]
 
     def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The known terms of the text in order, and how often each occurs."""
-        words = Counter(WORD.findall(text.lower()))
+        words = words_of(text)
         long = [(w[:BEGINNING], n) for w, n in words.items() if len(w) > BEGINNING]
         found = self._of(words, [w for w, _ in long])
         times = np.array([*words.values(), *(n for _, n in long)], np.int64)[found >= 0]

@@ -217,3 +217,49 @@ def test_pipeline_stages(spark):
         before = docs.count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
     assert packed.select("doc_id").distinct().count() == before
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Nulls, repeated and null ids, clashing names and no rows go through all stages; no unrelated document is lost."""
+    spark.createDataFrame([(i, i % 2) for i in range(1, 4)], "doc_id long, quality int").filter("false").write.parquet(str(tmp_path / "labels.parquet"))
+    texts = [*MIXED, (7, "another text under an id that is used twice"), (None, "no id"), (None, "other text without any id"), (8, "copy of a text that is copied")]
+    columns = docs_of(spark, texts).columns
+    for rows in (texts, []):
+        docs = docs_of(spark, rows)
+        kept = {}
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = Scratch(spark, "t").table(stage(spark, docs, str(tmp_path)), "s")
+            assert docs.columns == columns
+            kept[name] = sorted(((r["doc_id"] or 0, r["text"] or "") for r in docs.collect()))
+        if rows:
+            left = kept["SimHash near-dedup"]
+            assert len(left) == len({" ".join((t or "").split()) for _, t in rows})
+            assert (7, "another text under an id that is used twice") in left and (7, LONG) in left
+            assert (0, "no id") in left and (0, "other text without any id") in left
+            assert sum(t == "copy of a text that is copied" for _, t in left) == 1
+            assert sorted(i for i, _ in kept["secret scans"]) == sorted(i for i, _ in left)
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert packed.count() >= len(kept["secret scans"])
+
+
+def test_samples_are_bounded_after_the_join(spark):
+    one = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 4 != 2)
+    docs = docs_of(spark, [(one, f"text {k}") for k in range(50)] + [(None, "x")])
+    labels = spark.createDataFrame([(one, 1), (one, 0), (None, 1)], "doc_id long, quality int")
+    found = quality.labelled_sample(docs, labels, "quality", 3).collect()
+    assert len(found) == 3 and all(r["label"] == 1 for r in found)
+    sized = spark.createDataFrame([(k, 10) for k in range(5)], "k long, size long")
+    assert [r["k"] for r in quality.within(sized, "size", 35, "k").collect()] == [0, 1, 2]
+    assert [r["k"] for r in quality.within(sized, "size", 3, "k").collect()] == [0]
+
+
+def test_neighbours_of_huge_small_and_repeated_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [1e300, 0.0]), (3, [3.0, 4.0]), (3, [3.0, 4.0]), (4, [0.0, -5e-324])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], round(r["score"], 12)) for r in neighbours.nearest(df, spark).orderBy("rank").collect()]
+    assert got == [(1, 1.0), (3, round(7 / 50**0.5, 12)), (2, round(0.5**0.5, 12)), (4, -round(0.5**0.5, 12))]
+
+
+def test_spans_are_the_covered_stretches(spark):
+    found = substring.repeated_spans(docs_of(spark, [(1, "x y " + PASSAGE + " z"), (2, PASSAGE), (3, None), (4, "short")]), spark).collect()
+    assert sorted((r["doc_id"], r["first"], r["words"]) for r in found) == [(1, 2, 60), (2, 0, 60)]
