@@ -15,30 +15,27 @@ def _with_size(docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; those it rejects go."""
+    """Documents that the classifier accepts; those it rejects go. A null text is judged as an empty one."""
     return quality.accepted(docs, read_table(spark, sf_dir, "labels"), spark)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of the smallest doc_id. Rows without an id stay."""
-    found = simhash.near_duplicates(docs, spark).filter("component_id = doc_id").select("doc_id").distinct()
-    kept = Scratch(spark, "near-duplicates").table(found, "kept")
-    one = docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null"))
+    """One document of each group of near-duplicates (see simhash.one_of_each), whether or not ids are null or repeated."""
+    return simhash.one_of_each(docs, spark)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated word windows go out of the texts; every document stays, though its text may be empty."""
+    """Repeated word windows go out of the texts; every document stays, though its text may be empty. Null texts stay null."""
     return _with_size(substring.without_repeats(docs, spark))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts."""
+    """Secrets are replaced in the texts; every document stays. Null texts stay null."""
     return _with_size(secrets.without_secrets(docs, spark))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the training sequences."""
+    """Where each piece of each document lies in the training sequences. A null text is an empty one, its end id alone."""
     return packing.packed_documents(docs, spark)
 
 
@@ -54,9 +51,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written and read again."""
+    """All stages over `documents`, each written and read again.
+
+    Documents with null, empty or very long texts, null or repeated ids go through like any other, and extra
+    columns pass all stages but the last. No documents: no rows.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = read_table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = scratch.table(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            scratch.drop(f"stage-{k - 1}")
     return docs
