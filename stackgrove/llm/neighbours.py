@@ -117,6 +117,11 @@ def scaled(vectors: np.ndarray) -> np.ndarray:
     return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
 
 
+def dot(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The product of each row with its counterpart, summed from the first component to the last, so that it is the same everywhere."""
+    return np.add.accumulate(x * y, axis=1)[:, -1]
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     vectors = scaled(vectors)
     return vectors / np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
@@ -248,7 +253,7 @@ def nearest(df: DataFrame, spark: SparkSession, every: int = 50, id_col: str = "
     def exact():
         def work(rows: list[dict]) -> list[tuple]:
             x, y = (scaled(np.array([np.frombuffer(r[c]) for r in rows])) for c in ("qv", "cv"))
-            score = (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1)) / np.sqrt((y * y).sum(axis=1))
+            score = dot(x, y) / np.sqrt(dot(x, x)) / np.sqrt(dot(y, y))
             return [(r["query_id"], r["vec_id"], s) for r, s in zip(rows, score.tolist(), strict=True)]
 
         return work

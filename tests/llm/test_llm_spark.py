@@ -263,3 +263,17 @@ def test_neighbours_of_huge_small_and_repeated_vectors(spark):
 def test_spans_are_the_covered_stretches(spark):
     found = substring.repeated_spans(docs_of(spark, [(1, "x y " + PASSAGE + " z"), (2, PASSAGE), (3, None), (4, "short")]), spark).collect()
     assert sorted((r["doc_id"], r["first"], r["words"]) for r in found) == [(1, 2, 60), (2, 0, 60)]
+
+
+def test_sql_equals_the_query(spark):
+    import duckdb
+
+    from stackgrove.llm import queries
+
+    duck = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        duck.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    for name, text in queries.oracle_sql().items():
+        got = queries.queries()[name](spark, DATA)
+        want = duck.execute(text).df()[got.columns]
+        assert sorted(map(tuple, got.toPandas().astype(str).values.tolist())) == sorted(map(tuple, want.astype(str).values.tolist())), name
