@@ -1,18 +1,17 @@
-"""Calling contexts of enter events: stack depth, open frames and paths, from windows alone.
+"""Calling contexts of enter events: stack depth, open frames and paths, from native expressions alone.
 
 depth is the running sum of +1 and -1 less its running minimum (where that is below 0): exits on an
-empty stack change nothing. The frame open at level k is the last one entered at depth k. All
-windows partition by thread first, so one exchange serves them all.
+empty stack change nothing. The frame open at level k is the last one entered at depth k.
 
-A single thread is one task there. Where threads are too long for that, `contexts_in_chunks` cuts
-them by time: a chunk's effect on any stack is some pops and then some pushes, so chunks are
-reduced alone, their effects (a few frames each) are combined in order for each thread, and each
-chunk is then resolved alone with the stack it starts from.
+Threads that are too long for a task are cut into chunks, and a task has whole chunks, not whole threads. Within a
+chunk depths are local; what a chunk does to any stack is some pops (minus the minimum) and then some
+pushes (the frames open at its end). These effects, a short row each, are put in order for each
+thread by the same rule, which gives the stack each chunk starts from; a path is as much of that
+stack as the chunk has not popped yet, and the local frames above it.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +19,7 @@ from ..functions.columns import frame
 from ..sources.events import ENTER, EXIT, ORDER
 
 _THREAD = ["trace_id", "tid"]
+_CHUNK = [*_THREAD, "_chunk"]
 
 
 def _in_order(*keys: str, upto_now: bool = True) -> Window:
@@ -46,78 +46,71 @@ def underflow_exits(events: DataFrame) -> DataFrame:
     return with_depth(events).agg(F.sum(F.col("underflow").cast("long")).alias("underflow_exits"))
 
 
-def enters(events: DataFrame) -> DataFrame:
-    """trace_id, tid, seq, ts, tick, depth, frame, path_frames, path of each enter event."""
+def _in_chunks(events: DataFrame, chunk: Column) -> DataFrame:
+    """Enters and exits with their chunk, local depth after them, frames popped below the chunk's start so far, and number."""
+    step = F.when(F.col("kind") == ENTER, 1).otherwise(-1)
+    rows = events.filter(F.col("kind").isin(ENTER, EXIT)).select(*_THREAD, *ORDER, "tick", step.alias("_step"), frame(F.col("routine_id"), F.col("call_site")).alias("frame"), chunk.alias("_chunk"))
+    w = Window.partitionBy(*_CHUNK).orderBy(*ORDER)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = rows.withColumn("_sum", F.sum("_step").over(so_far)).withColumn("_n", F.row_number().over(w))
+    return summed.withColumn("_pops", -F.least(F.lit(0), F.min("_sum").over(so_far))).withColumn("_depth", F.col("_sum") + F.col("_pops")).drop("_sum")
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """_CHUNK and _start, the frames open before the chunk, of the chunks that start on a stack.
+
+    Only depths are grouped with the rows; all else is a row a chunk and open frame.
+    """
+    last = F.struct("_n", "tick")
+    levels = rows.groupBy(*_CHUNK, "_depth").agg(F.max(last).alias("_last"), F.max("_pops").alias("_pops"), F.max_by("frame", F.when(F.col("_step") == 1, last)).alias("frame"))
+    effects = levels.groupBy(*_CHUNK).agg(F.max("_pops").alias("_pops"), F.max_by("_depth", "_last").alias("_end"), F.collect_list(F.struct("_depth", "frame")).alias("_levels"))
+    w = Window.partitionBy(*_THREAD).orderBy("_chunk")
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = effects.withColumn("_sum", F.sum(F.col("_end") - F.col("_pops")).over(so_far))
+    low = F.least(F.lit(0), F.min(F.col("_sum") - F.col("_end")).over(so_far))  # after a chunk's pops
+    after = summed.withColumn("_after", F.col("_sum") - low)
+    placed = after.withColumn("_before", F.coalesce(F.lag("_after").over(w), F.lit(0))).withColumn("_base", F.col("_after") - F.col("_end"))
+    pushed = placed.select(*_CHUNK, "_base", F.explode(F.filter("_levels", lambda x: (x["_depth"] > 0) & (x["_depth"] <= F.col("_end")))).alias("x"))
+    pushed = pushed.select(*_CHUNK, (F.col("_base") + F.col("x._depth")).alias("_k"), F.col("x.frame").alias("frame"), F.lit(True).alias("_push"))
+    asked = placed.filter("_before > 0").select(*_CHUNK, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_before"))).alias("_k"), F.lit(None).cast("string").alias("frame"), F.lit(False).alias("_push"))
+    by_level = Window.partitionBy(*_THREAD, "_k").orderBy("_chunk", "_push").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = pushed.unionByName(asked).withColumn("_at", F.last("frame", ignorenulls=True).over(by_level)).filter(~F.col("_push"))
+    return found.groupBy(*_CHUNK).agg(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_at"))), lambda x: x["_at"]).alias("_start"))
+
+
+def enters(events: DataFrame, chunk: Column | None = None) -> DataFrame:
+    """trace_id, tid, ts, seq, tick, depth, frame, path_frames, path of each enter event.
+
+    Without `chunk` a thread is one task, which is quickest where none is long. With it, a task has a chunk of a
+    thread; it must not fall along the thread's order: floor(tick / 240), say.
+    """
+    return _of_threads(events) if chunk is None else _of_chunks(events, chunk)
+
+
+def _of_threads(events: DataFrame) -> DataFrame:
     own = frame(F.col("routine_id"), F.col("call_site"))
     opened = with_depth(events).filter(F.col("kind") == ENTER).select(*_THREAD, *ORDER, "tick", "depth", own.alias("frame"))
     levels = opened.select("*", F.explode(F.sequence(F.lit(1), F.col("depth"))).alias("_k"))
     at = F.last(F.when(F.col("depth") == F.col("_k"), F.col("frame")), ignorenulls=True).over(_in_order("_k"))
     frames = levels.withColumn("_at", at).groupBy(*_THREAD, *ORDER, "tick", "depth", "frame")
     listed = frames.agg(F.sort_array(F.collect_list(F.struct("_k", "_at"))).alias("_f"))
-    names = F.transform("_f", lambda x: x["_at"])
-    return listed.withColumn("path_frames", names).withColumn("path", F.array_join("path_frames", "/")).drop("_f")
-
-
-def _order_key() -> Column:
-    return F.struct(*ORDER)
-
-
-def contexts_in_chunks(events: DataFrame, chunk: Column) -> DataFrame:
-    """The rows of enters() for threads cut into chunks; `chunk` never falls along a thread's order.
-
-    Three steps: the effect of each chunk (grouped by thread and chunk), the stack each chunk starts
-    from (one short row a chunk), and the paths within each chunk.
-    """
-    rows = events.filter(F.col("kind").isin(ENTER, EXIT)).select(*_THREAD, *ORDER, "kind", "tick", frame(F.col("routine_id"), F.col("call_site")).alias("frame"), chunk.alias("_chunk"))
-    keys = [*_THREAD, "_chunk"]
-
-    def effect(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ORDER)
-        pops, pushed = 0, []
-        for kind, name in zip(pdf["kind"], pdf["frame"], strict=True):
-            if kind == ENTER:
-                pushed.append(name)
-            elif pushed:
-                pushed.pop()
-            else:
-                pops += 1
-        return pd.DataFrame({"trace_id": pdf["trace_id"].iloc[:1], "tid": pdf["tid"].iloc[:1], "_chunk": pdf["_chunk"].iloc[:1], "pops": pops, "pushed": pd.Series([pushed], pdf.index[:1], object)})
-
-    kind_of = dict(rows.dtypes)
-    head = f"trace_id string, tid long, _chunk {kind_of['_chunk']}"
-    effects = rows.groupBy(*keys).applyInPandas(effect, f"{head}, pops long, pushed array<string>")
-
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        stack: list[str] = []
-        starts = []
-        for pops, pushed in zip(*(pdf.sort_values("_chunk")[c] for c in ("pops", "pushed")), strict=True):
-            starts.append(list(stack))
-            stack = stack[: max(0, len(stack) - int(pops))] + list(pushed)
-        out = pdf.sort_values("_chunk")[["trace_id", "tid", "_chunk"]].copy()
-        out["start"] = pd.Series(starts, out.index, object)
-        return out
-
-    starts = effects.groupBy(*_THREAD).applyInPandas(carry, f"{head}, start array<string>")
-
-    def resolve(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        stack = list(right["start"].iloc[0]) if len(right) else []
-        left = left.sort_values(ORDER)
-        kept, paths = [], []
-        for i, (kind, name) in enumerate(zip(left["kind"], left["frame"], strict=True)):
-            if kind == ENTER:
-                stack.append(name)
-                kept.append(i)
-                paths.append(list(stack))
-            elif stack:
-                stack.pop()
-        out = left.iloc[kept][["trace_id", "tid", *ORDER, "tick", "frame"]].copy()
-        out["depth"] = pd.Series([len(p) for p in paths], out.index, int)
-        out["path_frames"] = pd.Series(paths, out.index, object)
-        out["path"] = pd.Series(["/".join(p) for p in paths], out.index, object)
-        return out[["trace_id", "tid", "ts", "seq", "tick", "depth", "frame", "path_frames", "path"]]
-
-    schema = "trace_id string, tid long, ts timestamp, seq long, tick long, depth int, frame string, path_frames array<string>, path string"
-    return rows.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInPandas(resolve, schema)
+    return listed.withColumn("path_frames", F.transform("_f", lambda x: x["_at"])).withColumn("path", F.array_join("path_frames", "/")).drop("_f")
+
+
+def _of_chunks(events: DataFrame, chunk: Column) -> DataFrame:
+    rows = _in_chunks(events, chunk)
+    opened = rows.filter("_step = 1")
+    levels = opened.select(*_CHUNK, "_n", "_depth", "frame", F.struct(*ORDER, "tick", "_pops").alias("_e"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_depth"))).alias("_k"))
+    # the last enter at each level; only an event's own row, the one at its depth, carries its columns on
+    at = F.last(F.when(F.col("_depth") == F.col("_k"), F.col("frame")), ignorenulls=True).over(Window.partitionBy(*_CHUNK, "_k").orderBy("_n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    own = F.when(F.col("_depth") == F.col("_k"), F.col("_e"))
+    each = levels.withColumn("_at", at).groupBy(*_CHUNK, "_n").agg(F.max(own).alias("_e"), F.sort_array(F.collect_list(F.struct("_k", "_at"))).alias("_f"))
+    local = F.transform("_f", lambda x: x["_at"])
+    joined = each.join(_starts(rows), _CHUNK, "left")
+    kept = F.greatest(F.size("_start") - F.col("_e._pops"), F.lit(0)).cast("int")
+    frames = F.when(F.col("_start").isNull(), local).otherwise(F.concat(F.slice("_start", F.lit(1), kept), local))
+    found = joined.select(*_THREAD, *[F.col(f"_e.{c}").alias(c) for c in (*ORDER, "tick")], frames.alias("path_frames"))
+    return found.select(*_THREAD, *ORDER, "tick", F.size("path_frames").alias("depth"), F.element_at("path_frames", -1).alias("frame"), "path_frames", F.array_join("path_frames", "/").alias("path"))
 
 
 def walk_stack(entered: DataFrame) -> DataFrame:

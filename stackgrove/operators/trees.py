@@ -5,6 +5,8 @@ Aggregates that count the root say so. `nodes` below have path, depth and counte
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,14 +33,19 @@ def with_ancestors(nodes: DataFrame) -> DataFrame:
     return both.groupBy("path").agg(F.sum("counter").alias("counter")).select("path", depth_of(F.col("path")).alias("depth"), "counter")
 
 
-def ancestor_closure(nodes: DataFrame, keep: Column) -> DataFrame:
-    """The nodes that `keep` holds for, and their ancestors; hot tells which they are.
+def ancestor_closure(nodes: DataFrame, keep: Column, by: Sequence[str] = ()) -> DataFrame:
+    """The nodes that `keep` holds for, and their ancestors; hot tells which they are. by: columns that tell trees apart.
 
-    Paths have the ancestors in them, so no recursion is needed: prefixes of kept paths, made
-    distinct before the exchange, select by an equi-join.
+    Paths have the ancestors in them, so no recursion is needed, and no second look at the nodes: each
+    node goes on as itself, a kept one also as each of its ancestors, and one aggregation by path joins the two.
     """
-    wanted = nodes.filter(keep).select(F.explode(prefixes(F.col("path"))).alias("path")).distinct()
-    return nodes.join(wanted, "path", "left_semi").withColumn("hot", F.coalesce(keep, F.lit(False)))
+    keep = F.coalesce(keep, F.lit(False))
+    rest = [c for c in nodes.columns if c not in (*by, "path")]
+    rows = nodes.select(*by, F.struct(*rest).alias("_n"), keep.alias("_hot"), "path", F.explode(F.when(keep, prefixes(F.col("path"))).otherwise(F.array("path"))).alias("_p"))
+    own = F.col("path") == F.col("_p")
+    each = rows.groupBy(*by, F.col("_p").alias("path")).agg(F.max(F.when(own, F.col("_n"))).alias("_n"), F.max("_hot").alias("_wanted"), F.max(own & F.col("_hot")).alias("hot"))
+    found = each.filter(F.col("_wanted") & F.col("_n").isNotNull())
+    return found.select(*[c if c in (*by, "path") else F.col(f"_n.{c}").alias(c) for c in nodes.columns], "hot")
 
 
 def hot_nodes(nodes: DataFrame, threshold: int | Column, inclusive: bool = False) -> DataFrame:
@@ -50,11 +57,11 @@ def hot_nodes(nodes: DataFrame, threshold: int | Column, inclusive: bool = False
     return nodes.filter((c >= threshold) & held)
 
 
-def hot_tree(nodes: DataFrame, threshold: int | Column, inclusive: bool = False, delta: bool = False) -> DataFrame:
-    """Hot nodes and their ancestors. delta adds a lossy count's error to the counter first."""
+def hot_tree(nodes: DataFrame, threshold: int | Column, inclusive: bool = False, delta: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """Hot nodes and their ancestors, of each tree that `by` names. delta adds a lossy count's error to the counter first."""
     c = F.col("counter") + (F.col("delta") if delta else F.lit(0))
     held = F.col("monitored") if "monitored" in nodes.columns else F.lit(True)
-    return ancestor_closure(nodes, (c >= threshold) & held if inclusive else (c > threshold) & held)
+    return ancestor_closure(nodes, (c >= threshold) & held if inclusive else (c > threshold) & held, by)
 
 
 def prune_depth(nodes: DataFrame, depth: int) -> DataFrame:
@@ -71,9 +78,9 @@ def subtree_sums(nodes: DataFrame) -> DataFrame:
 
     Each counter goes to all its prefixes; partial sums keep the exchange near the tree's size.
     """
-    spread = nodes.select(F.explode(prefixes(F.col("path"))).alias("path"), "counter", F.lit(None).cast("long").alias("own"))
-    both = spread.unionByName(nodes.select("path", F.lit(0).cast("long").alias("counter"), F.col("counter").alias("own")))
-    sums = both.groupBy("path").agg(F.sum("counter").alias("inclusive"), F.sum("own").alias("own"))
+    spread = nodes.select("path", "counter", F.explode(prefixes(F.col("path"))).alias("_p"))
+    own = F.sum(F.when(F.col("path") == F.col("_p"), F.col("counter")))
+    sums = spread.groupBy(F.col("_p").alias("path")).agg(F.sum("counter").alias("inclusive"), own.alias("own"))
     return sums.select("path", "inclusive", (F.col("inclusive") - F.coalesce("own", F.lit(0))).alias("exclusive"))
 
 

@@ -81,7 +81,8 @@ def underflow_exits(spark, sf_dir):
 
 
 def chunked_cct(spark, sf_dir):
-    return trees.exact_tree(contexts.contexts_in_chunks(_events(spark, sf_dir), F.floor(F.col("tick") / 240)))
+    """The exact tree from threads cut at each day, so that a task never has more of one than that."""
+    return trees.exact_tree(contexts.enters(_events(spark, sf_dir), F.floor(F.col("tick") / 24)))
 
 
 def hot_strict(spark, sf_dir):

@@ -51,12 +51,36 @@ def test_contexts_equal_a_stack_machine(spark, seed):
     got = contexts.enters(df).orderBy("seq").collect()
     assert [list(r["path_frames"]) for r in got] == [f for _, _, f in want]
     assert contexts.underflow_exits(df).first()[0] == under
-    chunked = contexts.contexts_in_chunks(df, F.floor(F.col("seq") / 50)).orderBy("seq").collect()
-    assert [r["path"] for r in chunked] == [r["path"] for r in got]
+    for chunk in (F.lit(0), F.floor(F.col("seq") / 50), F.floor(F.col("seq") / 3), F.col("tick")):
+        chunked = contexts.enters(df, chunk).orderBy("seq")
+        assert chunked.collect() == got and chunked.columns == contexts.enters(df).columns
     tree = {r["path"]: r["counter"] for r in trees.exact_tree(contexts.enters(df)).collect()}
     assert tree == Counter("/".join(f) for _, _, f in want)
 
 
+def test_one_long_thread_spreads_over_tasks(spark):
+    rows = random_rows(5, n=600, threads=1, exits=0.3)
+    df = frame_of(spark, rows)
+    found = contexts.enters(df, F.floor(F.col("seq") / 40))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    assert [list(r["path_frames"]) for r in found.orderBy("seq").collect()] == [f for _, _, f in machine(rows)[0]]
+
+
+def test_stack_walks(spark):
+    rows = random_rows(6, n=80)
+    walked = contexts.walk_stack(contexts.enters(frame_of(spark, rows))).collect()
+    want = Counter("/".join(f[:k]) for _, _, f in machine(rows)[0] for k in range(1, len(f) + 1))
+    assert Counter(r["level_path"] for r in walked) == want
+    assert all(r["level_path"].split("/")[r["level"] - 1] == r["level_frame"] for r in walked)
+
+
+def test_tick_clock_counts_earlier_ticks(spark):
+    rows = [(1, "TICK", "", 0, 0), (1, "ENTER", "a", 0, 0), (2, "ENTER", "b", 0, 0), (1, "TICK", "", 0, 0), (1, "TICK", "", 0, 0), (1, "EXIT", "", 0, 0)]
+    got = {(r["tid"], r["seq"]): r["tick_no"] for r in sampling.tick_clock(frame_of(spark, rows)).collect()}
+    assert got == {(1, 0): 0, (1, 1): 1, (2, 2): 0, (1, 3): 1, (1, 4): 2, (1, 5): 3}
+
+
 def test_names_are_escaped(spark):
     df = frame_of(spark, [(1, "ENTER", "a/b@c%", 0, 0)])
     assert contexts.enters(df).first()["path"] == "a%2Fb%40c%25@0"
