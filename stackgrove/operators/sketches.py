@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.events import ORDER
+from .trees import hot_tree
 
 
 class _Tree:
@@ -140,7 +141,7 @@ class LossyCounting:
     def __init__(self, width: int):
         if width < 1:
             raise ValueError("a window needs an enter")
-        self.width, self.bucket, self.index = width, 0, 0
+        self.width, self.bucket, self.index = width, 0, 1  # the root is the first of the stream
         self.count: dict[str, int] = {}
         self.delta: dict[str, int] = {}
         self.monitored: set[str] = set()
@@ -194,6 +195,16 @@ def sketch(entered: DataFrame, engine: str, size: int, weight: Column | None = N
     return rows.groupBy("tid").applyInPandas(run, SCHEMA)
 
 
+def hot_trees(threads: DataFrame, entered: DataFrame, phi: int, weight: Column | None = None) -> DataFrame:
+    """The hot tree of each thread's sketch: monitored contexts whose counter and delta reach its enters by phi, and their ancestors.
+
+    phi is a reciprocal. A thread's stream is its enters (or their weights) alone.
+    """
+    total = entered.groupBy("tid").agg(F.sum(F.lit(1) if weight is None else weight).cast("long").alias("_n"))
+    found = hot_tree(threads.join(total, "tid"), F.floor(F.col("_n") / phi), inclusive=True, delta=True, by=["tid"])
+    return found.select("tid", "path", "counter", "monitored", "eps", "delta", "hot")
+
+
 def merged_sketch(threads: DataFrame) -> DataFrame:
     """One tree of all threads' sketches: counters, errors and deltas add up, monitored anywhere is monitored."""
     return threads.groupBy("path").agg(F.sum("counter").alias("counter"), F.max("monitored").alias("monitored"), F.sum("eps").alias("eps"), F.sum("delta").alias("delta"))

@@ -17,6 +17,8 @@ from ..sources.events import ENTER, read_event_log
 PHI, BURST, TAU = 1000, BurstParams(24, 6), 10
 #: Sketch sizes below and above the number of contexts of a thread.
 SMALL, LARGE = 16, 1 << 20
+#: Reciprocal of the hot fraction of a thread's sketch.
+SKETCH_PHI = 10
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -316,6 +318,14 @@ def _small_sketch(engine: str, weighted: bool = False) -> Query:
     return run
 
 
+def _hot_sketch(engine: str) -> Query:
+    def run(spark, sf_dir):
+        entered = _enters(spark, sf_dir)
+        return sketches.hot_trees(sketches.sketch(entered, engine, SMALL), entered, SKETCH_PHI)
+
+    return run
+
+
 def sketch_report(spark, sf_dir):
     sketched = sketches.merged_sketch(sketches.sketch(_enters(spark, sf_dir), "lss", SMALL))
     return metrics.sketch_report(_tree(spark, sf_dir), sketched, PHI, TAU, SMALL)
@@ -368,4 +378,5 @@ def queries() -> dict[str, Query]:
         found[f"{engine}_large"] = _whole_sketch(engine, LARGE)
         found[f"{engine}_sketch"] = _small_sketch(engine)
         found[f"{engine}_weighted"] = _small_sketch(engine, weighted=True)
+        found[f"{engine}_hot"] = _hot_sketch(engine)
     return found
