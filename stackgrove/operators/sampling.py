@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import depth_of, prefixes
 from ..params import BurstParams
-from ..sources.events import ORDER, TICK
+from ..sources.events import ENTER, EXIT, ORDER, TICK
 from .contexts import enters, with_depth
 from .trees import with_ancestors
 
@@ -45,13 +45,22 @@ def static_bursts(entered: DataFrame, params: BurstParams) -> DataFrame:
     return kept.drop("_m")
 
 
-def wall_clock_bursts(entered: DataFrame, params: BurstParams, start: Column) -> DataFrame:
-    """Sampled enters of a gate that is off first and on for the last `length` nanoseconds of each interval."""
-    elapsed = (F.unix_micros("ts") - F.unix_micros(start)) * 1000
-    gate = elapsed % params.interval >= params.interval - params.length
-    w = Window.partitionBy(*_THREAD, "cycle").orderBy(*ORDER)
-    rows = entered.filter(gate).withColumn("cycle", F.floor(elapsed / params.interval))
-    return rows.withColumn("burst_start", F.row_number().over(w) == 1)
+def wall_clock_bursts(events: DataFrame, params: BurstParams) -> DataFrame:
+    """Sampled enters of a gate that is off first and on for the last `length` nanoseconds of each interval, from the trace's first enter on.
+
+    burst_start: the first sampled enter after an event of its thread that the gate shut out. An off-phase without
+    events, like a thread's beginning, leaves the stack aligned, so the enter after it starts no burst.
+    """
+    first = F.broadcast(events.filter(F.col("kind") == ENTER).groupBy(F.col("trace_id").alias("_trace")).agg(F.min("ts").alias("_first")))  # a row a trace
+    entered = enters(events).withColumn("_enter", F.lit(True))
+    both = entered.unionByName(events.filter(F.col("kind") == EXIT).select(*_THREAD, *ORDER, F.lit(False).alias("_enter")), allowMissingColumns=True)
+    both = both.join(first, F.col("trace_id") == F.col("_trace"))
+    elapsed = (F.unix_micros("ts") - F.unix_micros("_first")) * 1000
+    timed = both.withColumn("cycle", F.floor(elapsed / params.interval)).withColumn("_on", elapsed % params.interval >= params.interval - params.length)
+    w = Window.partitionBy(*_THREAD).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
+    aligned = F.last(F.when(~F.col("_on"), False).when(F.col("_enter"), True), ignorenulls=True).over(w)
+    rows = timed.withColumn("burst_start", ~F.coalesce(aligned, F.lit(True))).filter(F.col("_on") & F.col("_enter"))
+    return rows.drop("_enter", "_on", "_trace", "_first")
 
 
 def burst_tree(sampled: DataFrame, policy: str = WALK) -> DataFrame:

@@ -163,12 +163,19 @@ def burst_stats(spark, sf_dir):
     return _rounded(sampling.burst_stats(_enters(spark, sf_dir), _sampled(spark, sf_dir)), "percent")
 
 
-def wall_clock_bursts(spark, sf_dir):
-    rows = _enters(spark, sf_dir)
-    first = F.broadcast(rows.agg(F.min("ts").alias("start")))  # one row
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = 86_400 * 10**9
-    gate = sampling.wall_clock_bursts(rows.crossJoin(first), BurstParams(day, day // 4), F.col("start"))
-    return gate.groupBy("path").agg(F.count("*").alias("counter"))
+    return sampling.wall_clock_bursts(_events(spark, sf_dir), BurstParams(day, day // 4))
+
+
+def wall_clock_bursts(spark, sf_dir):
+    """Sampled enters of each context under a clock's gate, and bursts that start there."""
+    return _gated(spark, sf_dir).groupBy("path").agg(F.count("*").alias("counter"), F.sum(F.col("burst_start").cast("long")).alias("bursts"))
+
+
+def wall_clock_tree(spark, sf_dir):
+    """The aligned tree of those bursts; ancestors count where they must be created."""
+    return sampling.burst_tree(_gated(spark, sf_dir), sampling.CREATE).select("path", "counter")
 
 
 def elapsed_ticks(spark, sf_dir):
@@ -365,7 +372,7 @@ _NAMED = [
     exact_cct, cct_by_thread, merge_threads, underflow_exits, chunked_cct, hot_strict, hot_inclusive, hcct_offline, hcct_trace,
     prune_depth, tree_stats, subtree_sums, subtree_weights, degree_stats, distinct_routines, distinct_routines_trace, tau_count,
     max_phi_table, hot_per_phi, sibling_rank, growth_curve, static_burst_walk, static_burst_create, burst_stats,
-    wall_clock_bursts, elapsed_ticks, time_cct, uncovered, degree_overlap, counter_error, false_positives, hot_coverage_tau,
+    wall_clock_bursts, wall_clock_tree, elapsed_ticks, time_cct, uncovered, degree_overlap, counter_error, false_positives, hot_coverage_tau,
     hot_coverage_factors, node_partition, counter_accuracy, adjust_factor, sampling_ratios, summary_report, region_join,
     symbol_join, child_similarity, child_similarity_all, match_trees, match_summary, match_status, unmatched_frequency, graphviz_lines, tree_dump_lines, console_tree, json_tree, json_tree_all,
     sketch_report, approximate_top, adaptive_burst, adaptive_burst_weighted, shallow_tree, windowed_calls,

@@ -35,6 +35,11 @@ def _q(body: str) -> str:
 
 
 _SEEN = "(SELECT n.path, n.depth, n.counter, w.counter AS est FROM nodes n LEFT JOIN walk w USING (path))"
+#: The gate is on in the last quarter of each day from the first enter on.
+_GATED = """, gev AS (SELECT tid, seq, ts, d, ((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM enters)) * 1000) % 86400000000000 >= 64800000000000 AS g FROM ev),
+gst AS (SELECT *, last_value(CASE WHEN NOT g THEN 0 WHEN d = 1 THEN 1 END IGNORE NULLS) OVER (PARTITION BY tid ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS st FROM gev),
+wsm AS (SELECT n.tid, n.seq, n.ts, n.path, n.depth, coalesce(gst.st, 1) = 0 AS start FROM gst JOIN enters n USING (tid, seq) WHERE gst.g AND gst.d = 1)
+"""
 ORACLE = {
     "chunked_cct": _q("SELECT path, CAST(depth AS INTEGER) AS depth, counter FROM nodes"),
     "exact_cct": _q("SELECT path, CAST(depth AS INTEGER) AS depth, counter FROM nodes"),
@@ -77,9 +82,13 @@ abv AS (SELECT tid, prefix AS path, min(struct_pack(ts := ts, seq := seq)) AS at
 SELECT path, CAST(sum(coalesce(o.n, 0) + CASE WHEN a.at IS NOT NULL AND (o.at IS NULL OR a.at < o.at) THEN 1 ELSE 0 END) AS BIGINT) AS counter FROM own o FULL JOIN abv a USING (tid, path) GROUP BY path"""
     ),
     "burst_stats": _q("SELECT (SELECT count(*) FROM enters) AS enters, count(*) AS sampled, CAST(sum(CASE WHEN start THEN 1 ELSE 0 END) AS BIGINT) AS bursts, round(count(*) * 100.0 / (SELECT count(*) FROM enters), 6) AS percent FROM smp"),
-    "wall_clock_bursts": _q(
-        """, ws AS (SELECT path, epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM enters) AS e FROM enters)
-SELECT path, count(*) AS counter FROM ws WHERE (e * 1000) % 86400000000000 >= 86400000000000 - 21600000000000 GROUP BY path"""
+    "wall_clock_bursts": _q(_GATED + "SELECT path, count(*) AS counter, CAST(sum(CASE WHEN start THEN 1 ELSE 0 END) AS BIGINT) AS bursts FROM wsm GROUP BY path"),
+    "wall_clock_tree": _q(
+        _GATED
+        + """, wup AS (SELECT tid, ts, seq, array_to_string((string_split(path, '/'))[1:k], '/') AS prefix FROM (SELECT *, unnest(range(1, depth)) AS k FROM wsm WHERE start)),
+own AS (SELECT tid, path, count(*) AS n, min(struct_pack(ts := ts, seq := seq)) AS at FROM wsm GROUP BY tid, path),
+abv AS (SELECT tid, prefix AS path, min(struct_pack(ts := ts, seq := seq)) AS at FROM wup GROUP BY tid, prefix)
+SELECT path, CAST(sum(coalesce(o.n, 0) + CASE WHEN a.at IS NOT NULL AND (o.at IS NULL OR a.at < o.at) THEN 1 ELSE 0 END) AS BIGINT) AS counter FROM own o FULL JOIN abv a USING (tid, path) GROUP BY path"""
     ),
     "elapsed_ticks": _q("SELECT tid, CAST(sum(e) AS BIGINT) AS elapsed FROM (SELECT tid, tick - lag(tick) OVER (PARTITION BY tid ORDER BY ts, seq) AS e FROM ev) GROUP BY tid"),
     "time_cct": _q(

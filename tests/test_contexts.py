@@ -125,6 +125,15 @@ def test_static_bursts_equal_the_state_machine(spark, seed, interval, length):
         sampling.burst_tree(found, "other")
 
 
+def test_a_clock_gate_starts_bursts_only_after_events_it_shut_out(spark):
+    # a second a row; the gate is on in the last 2 of each 10
+    other = lambda n: [(2, "EXIT", "", 0, 0)] * n
+    rows = [(1, "ENTER", "a", 0, 0), *other(6), (1, "ENTER", "b", 0, 0), (1, "ENTER", "c", 0, 0), *other(9), (1, "ENTER", "d", 0, 0), (1, "EXIT", "", 0, 0), (1, "EXIT", "", 0, 0), *other(7), (1, "ENTER", "f", 0, 0)]
+    found = sampling.wall_clock_bursts(frame_of(spark, rows), BurstParams(10 * 10**9, 2 * 10**9))
+    got = [(r["seq"], r["path"], r["burst_start"]) for r in found.orderBy("seq").collect()]
+    assert got == [(8, "a@0/b@0/c@0", True), (18, "a@0/b@0/c@0/d@0", False), (28, "a@0/b@0/f@0", True)]
+
+
 def test_time_is_charged_to_the_stack_before_the_event(spark):
     rows = [(1, "ENTER", "a", 0, 0), (1, "ENTER", "b", 0, 3), (1, "EXIT", "x", 0, 7), (1, "EXIT", "x", 0, 9), (1, "ENTER", "c", 0, 14), (1, "EXIT", "x", 0, 15)]
     tree = {r["path"]: r["counter"] for r in sampling.time_tree(frame_of(spark, rows)).collect()}
