@@ -12,14 +12,22 @@ stack as the chunk has not popped yet, and the local frames above it.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import frame
 from ..sources.events import ENTER, EXIT, ORDER
 
 _THREAD = ["trace_id", "tid"]
 _CHUNK = [*_THREAD, "_chunk"]
+#: Result rows of threads put into one batch, about.
+HELD = 10_000
 
 
 def _in_order(*keys: str, upto_now: bool = True) -> Window:
@@ -113,6 +121,38 @@ def _of_chunks(events: DataFrame, chunk: Column) -> DataFrame:
     return found.select(*_THREAD, *ORDER, "tick", F.size("path_frames").alias("depth"), F.element_at("path_frames", -1).alias("frame"), "path_frames", F.array_join("path_frames", "/").alias("path"))
 
 
+def per_thread(rows: DataFrame, start: Callable[[], Any], step: Callable[..., None], finish: Callable[[Any], list[tuple]], schema: str) -> DataFrame:
+    """tid and what finish() gives of each thread's state, made by start() and changed by step(state, *values) for each row in order.
+
+    rows: tid, ORDER, then the values. Sorted batches pass through, so a task holds one thread's state and no thread's rows.
+    """
+    kind = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(kind)
+    values = [c for c in rows.columns if c not in ("tid", *ORDER)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state, held = None, None, []
+
+        def batch_of() -> pa.RecordBatch:
+            columns = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+        for batch in batches:
+            for tid, *row in zip(batch.column("tid").to_pylist(), *(batch.column(c).to_pylist() for c in values), strict=True):
+                if state is None or tid != now:
+                    held += [(now, *r) for r in finish(state)] if state is not None else []
+                    now, state = tid, start()
+                step(state, *row)
+            if len(held) > HELD:
+                yield batch_of()
+                held = []
+        held += [(now, *r) for r in finish(state)] if state is not None else []
+        if held:
+            yield batch_of()
+
+    return rows.repartition("tid").sortWithinPartitions("tid", *ORDER).mapInArrow(run, kind)
+
+
 def walk_stack(entered: DataFrame) -> DataFrame:
     """One row for each open frame of each enter: level, its frame and its path; what a stack walk visits."""
     each = entered.select("trace_id", "tid", *ORDER, F.posexplode("path_frames").alias("_i", "level_frame"), "path_frames")

@@ -5,14 +5,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import depth_of, prefixes
 from ..params import BurstParams
 from ..sources.events import ENTER, EXIT, ORDER, TICK
-from .contexts import enters, with_depth
+from .contexts import enters, per_thread, with_depth
 from .trees import with_ancestors
 
 _THREAD = ["trace_id", "tid"]
@@ -97,48 +96,56 @@ def reenabled(seed: int, burst: int, rate: int) -> bool:
     return rate > 0 and int.from_bytes(hashlib.blake2b(f"{seed}:{burst}".encode(), digest_size=8).digest(), "big") % rate == 0
 
 
-def adaptive_bursts(rows: Iterator[tuple[int, str]], params: BurstParams, compensate: bool = False) -> dict[str, int]:
-    """Counters of one thread's enters (tick_no, path): a new context always starts its burst, a known one by chance.
+class AdaptiveBursts:
+    """Counters of one thread's enters: a new context always starts its burst, a known one by chance.
 
     A burst that is not started leaves all counters as they are. compensate: enters of a burst on a
     known context weigh as many as bursts of its kind are let through.
     """
-    counters: dict[str, int] = {}
-    on, due, weight, end, cycle, tried = False, False, 1, 0, -1, 0
-    for tick, path in rows:
+
+    def __init__(self, params: BurstParams, compensate: bool = False):
+        self.params, self.compensate = params, compensate
+        self.counters: dict[str, int] = {}
+        self.on, self.due, self.weight, self.end, self.cycle, self.tried = False, False, 1, 0, -1, 0
+
+    def enter(self, tick: int, path: str) -> None:
         if tick <= 0:
-            continue
-        now = (tick - 1) // params.interval
-        if now != cycle:
-            cycle, due, on = now, True, on and tick <= end
-        if on and tick > end:
-            on = False
-        if due:
-            due = False
-            tried += 1
-            known = path in counters
-            on = not known or reenabled(params.seed, tried, params.re_enabling)
-            if on:
-                weight = params.re_enabling if known and compensate else 1
-                end = -(-tick // params.length) * params.length
+            return
+        now = (tick - 1) // self.params.interval
+        if now != self.cycle:
+            self.cycle, self.due, self.on = now, True, self.on and tick <= self.end
+        if self.on and tick > self.end:
+            self.on = False
+        if self.due:
+            self.due = False
+            self.tried += 1
+            known = path in self.counters
+            self.on = not known or reenabled(self.params.seed, self.tried, self.params.re_enabling)
+            if self.on:
+                self.weight = self.params.re_enabling if known and self.compensate else 1
+                self.end = -(-tick // self.params.length) * self.params.length
                 parts = path.split("/")
                 for k in range(1, len(parts)):
-                    above = "/".join(parts[:k])
-                    counters[above] = counters.get(above, 0) + weight
-        if on:
-            counters[path] = counters.get(path, 0) + weight
-    return counters
+                    self._count("/".join(parts[:k]))
+        if self.on:
+            self._count(path)
 
+    def _count(self, path: str) -> None:
+        self.counters[path] = self.counters.get(path, 0) + self.weight
 
-def adaptive_tree(entered: DataFrame, params: BurstParams, compensate: bool = False) -> DataFrame:
-    """tid, path, counter of adaptive bursts; what is sampled depends on the thread's tree so far, so a thread is a task."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ORDER)
-        found = adaptive_bursts(zip(pdf["tick_no"], pdf["path"], strict=True), params, compensate)
-        return pd.DataFrame({"tid": pdf["tid"].iloc[0], "path": list(found), "counter": list(found.values())})
+def adaptive_bursts(rows: Iterator[tuple[int, str]], params: BurstParams, compensate: bool = False) -> dict[str, int]:
+    """The counters of one thread's enters (tick_no, path)."""
+    state = AdaptiveBursts(params, compensate)
+    for tick, path in rows:
+        state.enter(tick, path)
+    return state.counters
+
 
-    return entered.select("tid", *ORDER, "tick_no", "path").groupBy("tid").applyInPandas(run, "tid long, path string, counter long")
+def adaptive_tree(entered: DataFrame, params: BurstParams, compensate: bool = False) -> DataFrame:
+    """tid, path, counter of adaptive bursts; what is sampled depends on the thread's tree so far, so a thread is a task."""
+    rows = entered.select("tid", *ORDER, "tick_no", "path")
+    return per_thread(rows, lambda: AdaptiveBursts(params, compensate), lambda state, tick, path: state.enter(tick, path), lambda state: list(state.counters.items()), "tid long, path string, counter long")
 
 
 def time_charges(events: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Frequent contexts in bounded memory: Space Saving (lazy minimum or buckets) and Lossy Counting.
 
 Each sketch holds a tree: the monitored contexts, and their ancestors kept cold. Batch form: a
-thread's enters in order, one task a thread. Across threads and for threads too long for a task
+thread's enters in order, as sorted batches, so a task holds one sketch at a time. Across threads and for threads too long for a task
 there is `approximate_top`, whose partial sketches merge.
 """
 
@@ -11,11 +11,11 @@ import heapq
 from collections import OrderedDict
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.events import ORDER
+from .contexts import per_thread
 from .trees import hot_tree
 
 
@@ -181,18 +181,7 @@ def sketch(entered: DataFrame, engine: str, size: int, weight: Column | None = N
     """tid, path, counter, monitored, eps, delta of each thread's sketch; size is the table's or the window's."""
     make = ENGINES[engine]
     rows = entered.select("tid", *ORDER, "path", (F.lit(1) if weight is None else weight).cast("long").alias("weight"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ORDER)
-        state = make(size)
-        for path, w in zip(pdf["path"], pdf["weight"], strict=True):
-            state.enter(path, int(w))
-        found = state.rows()
-        out = pd.DataFrame(found, columns=["path", "counter", "monitored", "eps", "delta"])
-        out.insert(0, "tid", pdf["tid"].iloc[0])
-        return out
-
-    return rows.groupBy("tid").applyInPandas(run, SCHEMA)
+    return per_thread(rows, lambda: make(size), lambda state, path, w: state.enter(path, w), lambda state: state.rows(), SCHEMA)
 
 
 def hot_trees(threads: DataFrame, entered: DataFrame, phi: int, weight: Column | None = None) -> DataFrame:

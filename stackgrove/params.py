@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
 DEFAULT_EPSILON, DEFAULT_PHI, DEFAULT_TAU = 1 / 50000, 1 / 10000, 0.1
+#: Nanoseconds of a live run's sampling interval and burst, and the folder of its dumps.
+LIVE_INTERVAL, LIVE_LENGTH, DEFAULT_DUMPS = 20_000_000, 2_000_000, "/tmp"
 
 
 @dataclass(frozen=True)
@@ -58,10 +61,33 @@ class BurstParams:
         if self.re_enabling < 0:
             raise ValueError("re_enabling must not be negative")
 
+    @classmethod
+    def from_environment(cls, env: dict[str, str]) -> BurstParams:
+        """SINTVL and BLENGTH in nanoseconds (any base that a prefix tells); what is missing, zero or no number gives the default."""
+
+        def number(name: str, default: int) -> int:
+            try:
+                return int(env.get(name) or "0", 0) or default
+            except ValueError:
+                return default
+
+        return cls(number("SINTVL", LIVE_INTERVAL), number("BLENGTH", LIVE_LENGTH))
+
+    @classmethod
+    def from_arguments(cls, arguments: Sequence[str]) -> BurstParams:
+        """-sampling and -burst of a replay's command line, in ticks."""
+        given = dict(zip(arguments, arguments[1:], strict=False))
+        return cls(int(given.get("-sampling", cls.interval)), int(given.get("-burst", cls.length)))
+
     def with_interval(self, interval: int) -> BurstParams:
         return replace(self, interval=interval)
 
 
+def dump_folder(env: dict[str, str]) -> str:
+    """Where dumps go: DUMPPATH, or the default."""
+    return env.get("DUMPPATH") or DEFAULT_DUMPS
+
+
 def table_size(epsilon: float) -> int:
     """Items in a sketch of error epsilon; outside (0, 1] the default error holds."""
     return math.ceil(1 / (epsilon if 0 < epsilon <= 1 else DEFAULT_EPSILON))

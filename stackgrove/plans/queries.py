@@ -87,20 +87,26 @@ def chunked_cct(spark, sf_dir):
     return trees.exact_tree(contexts.enters(_events(spark, sf_dir), F.floor(F.col("tick") / 24)))
 
 
+def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact tree with the column threshold, from a count of enters that is one row."""
+    limit = _events(spark, sf_dir).filter(F.col("kind") == ENTER).agg(F.floor(F.count("*") / PHI).alias("threshold"))
+    return _tree(spark, sf_dir).crossJoin(F.broadcast(limit))
+
+
 def hot_strict(spark, sf_dir):
-    return trees.hot_nodes(_tree(spark, sf_dir), _threshold(spark, sf_dir)).select("path", "counter")
+    return trees.hot_nodes(_marked(spark, sf_dir), F.col("threshold")).select("path", "counter")
 
 
 def hot_inclusive(spark, sf_dir):
-    return trees.hot_nodes(_tree(spark, sf_dir), _threshold(spark, sf_dir), inclusive=True).select("path", "counter")
+    return trees.hot_nodes(_marked(spark, sf_dir), F.col("threshold"), inclusive=True).select("path", "counter")
 
 
 def hcct_offline(spark, sf_dir):
-    return trees.hot_tree(_tree(spark, sf_dir), _threshold(spark, sf_dir))
+    return trees.hot_tree(_marked(spark, sf_dir), F.col("threshold")).drop("threshold")
 
 
 def hcct_trace(spark, sf_dir):
-    return trees.hot_tree(_tree(spark, sf_dir), _threshold(spark, sf_dir), inclusive=True)
+    return trees.hot_tree(_marked(spark, sf_dir), F.col("threshold"), inclusive=True).drop("threshold")
 
 
 def prune_depth(spark, sf_dir):

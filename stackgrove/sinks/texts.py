@@ -25,10 +25,11 @@ def dump_lines(nodes: DataFrame) -> DataFrame:
     return nodes.select("path", line.alias("line"))
 
 
-def write_dump(nodes: DataFrame, folder: str, tool: str, parameters: list, command: str, tid: int, cwd: str) -> None:
+def write_dump(nodes: DataFrame, folder: str, tool: str, parameters: list, command: str, tid: int, cwd: str, events: int | None = None) -> None:
     """A dump as one text file in `folder`; nodes need path, counter, routine_id, call_site (numbers).
 
-    Rows are sorted by path frames, so the file is in depth-first order; it is one file by format.
+    events: the enters of the run, which the last line gives; an exact tree's counters sum up to them, a sketch's or a
+    sampled tree's don't. Rows are sorted by path frames, so the file is in depth-first order; it is one file by format.
     """
     spark = nodes.sparkSession
     own = node_ids(nodes)
@@ -36,7 +37,7 @@ def write_dump(nodes: DataFrame, folder: str, tool: str, parameters: list, comma
     v = own.select(F.concat(F.lit("1"), F.replace("path", F.lit("/"), F.lit("\x01"))).alias("o"), F.concat_ws(" ", F.lit("v"), hexes("node_id"), hexes("parent_id"), F.col("counter").cast("string"), hexes("routine_id"), hexes("call_site")).alias("value"))
     head = spark.createDataFrame([("0a", " ".join(["c", tool, *map(str, parameters)]) + ("" if parameters else " ")), ("0b", f"c {command} {tid} {cwd}")], "o string, value string")
     root = spark.range(1).select(F.lit("0c").alias("o"), F.concat(F.lit("v "), hexes(F.xxhash64(F.lit(""))), F.lit(" 0 1 0 0")).alias("value"))
-    tail = nodes.agg(F.lit("2").alias("o"), F.concat_ws(" ", F.lit("p"), (F.count("*") + 1).cast("string"), F.coalesce(F.sum("counter"), F.lit(0)).cast("string")).alias("value"))
+    tail = nodes.agg(F.lit("2").alias("o"), F.concat_ws(" ", F.lit("p"), (F.count("*") + 1).cast("string"), (F.coalesce(F.sum("counter"), F.lit(0)) if events is None else F.lit(events)).cast("string")).alias("value"))
     head.unionByName(root).unionByName(v).unionByName(tail).coalesce(1).sortWithinPartitions("o").select("value").write.mode("overwrite").text(folder)
 
 
@@ -80,14 +81,23 @@ def json_tree(nodes: DataFrame, depth: int | None = None) -> DataFrame:
     return below.select("name", "json")
 
 
+def json_document(nodes: DataFrame, root: str = "0") -> DataFrame:
+    """One row, json: the whole tree as the root's object. One document is one value, so it suits trees that fit a task."""
+    inner = json_tree(nodes).agg(F.array_join(F.array_sort(F.collect_list("json")), ",").alias("inner"))
+    return inner.select(F.concat(F.lit(f'{{"name":"{root}","children":['), "inner", F.lit("]}")).alias("json"))
+
+
 def indented(nodes: DataFrame) -> DataFrame:
     """path and line: a sign for each level, then the frame and its counter."""
     return nodes.select("path", F.concat(F.repeat(F.lit("="), F.col("depth")), F.lit(" "), F.element_at(F.split("path", "/"), -1), F.lit(" "), F.col("counter").cast("string")).alias("line"))
 
 
-def append_log(metrics: DataFrame, folder: str) -> None:
-    """Adds a metrics row to a log folder, as CSV with a header."""
-    metrics.coalesce(1).write.mode("append").option("header", True).csv(folder)
+def append_log(metrics: DataFrame, folder: str, overwrite: bool = False) -> None:
+    """Adds a metrics row to a log folder of CSV files, or starts the log anew; only the first file has a header."""
+    context = metrics.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    begun = not overwrite and path.getFileSystem(context._jsc.hadoopConfiguration()).exists(path)
+    metrics.coalesce(1).write.mode("overwrite" if overwrite else "append").option("header", not begun).csv(folder)
 
 
 def write_symbols(symbols: DataFrame, folder: str, program: str, maps_file: str) -> None:

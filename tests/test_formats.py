@@ -5,7 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from stackgrove.functions import columns
 from stackgrove.operators import matching, symbols, trees
+from stackgrove.params import BurstParams, SketchParams, dump_folder
 from stackgrove.sinks import texts
 from stackgrove.sources import dumps, traces
 
@@ -51,6 +53,50 @@ def test_dump_round_trip(spark, tmp_path):
     assert {r["problem"] for r in lost.collect()} == {"node count", "missing parent"}
 
 
+def test_sketch_dump_gives_the_enters(spark, tmp_path):
+    nodes = spark.createDataFrame([("1@a", 4, 1, 10)], "path string, counter long, routine_id long, call_site long")
+    texts.write_dump(nodes, str(tmp_path / "d"), "lss-hcct", [0.001], "prog", 17, "/home/x", events=77)
+    assert dumps.read_runs(spark, str(tmp_path / "d")).first()["events"] == 77
+
+
+def test_json_document_has_the_root(spark):
+    nodes = trees.exact_tree(spark.createDataFrame([("a",), ("a/b",), ("d",)], "path string"))
+    whole = json.loads(texts.json_document(nodes).first()["json"])
+    assert whole == {"name": "0", "children": [{"name": "a", "children": [{"name": "b", "children": []}]}, {"name": "d", "children": []}]}
+
+
+def test_log_has_one_header(spark, tmp_path):
+    row, folder = spark.createDataFrame([(1, 2)], "a long, b long"), str(tmp_path / "log")
+    for _ in range(3):
+        texts.append_log(row, folder)
+    lines = [r["value"] for r in spark.read.text(folder).collect()]
+    assert sorted(lines) == ["1,2", "1,2", "1,2", "a,b"]
+    texts.append_log(row, folder, overwrite=True)
+    assert sorted(r["value"] for r in spark.read.text(folder).collect()) == ["1,2", "a,b"]
+
+
+def test_graphviz_file(spark, tmp_path):
+    texts.write_graphviz(trees.exact_tree(spark.createDataFrame([("a",), ("a/b",)], "path string")), str(tmp_path / "g"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "g")).collect()]
+    assert lines[0] == "digraph {" and lines[-1] == "}" and any('"a" -> "a/b"' in x for x in lines) and len(lines) == 5
+
+
+def test_column_functions(spark):
+    rows = spark.createDataFrame([("./x/y.c", "g", "f.c", "i", 5), ("y.c", "UNRSLVD", "f.c", "a", 1), ("/y.c", "UNRSLVD", "f.c", "a", 0)], "path string, name string, file string, image string, offset long")
+    assert [r[0] for r in rows.select(columns.base_name(F.col("path"))).collect()] == ["y.c"] * 3
+    ordered = rows.orderBy(*columns.symbol_order(*(F.col(c) for c in ("name", "file", "image", "offset"))))
+    assert [(r["name"], r["offset"]) for r in ordered.collect()] == [("UNRSLVD", 0), ("UNRSLVD", 1), ("g", 5)]
+
+
+def test_parameters_of_runs():
+    assert BurstParams.from_environment({}) == BurstParams(20_000_000, 2_000_000)
+    assert BurstParams.from_environment({"SINTVL": "0x64", "BLENGTH": "50"}) == BurstParams(100, 50)
+    assert BurstParams.from_environment({"SINTVL": "0", "BLENGTH": "x"}) == BurstParams(20_000_000, 2_000_000)
+    assert BurstParams.from_arguments(["trace", "-sampling", "60", "-burst", "3"]) == BurstParams(60, 3)
+    assert (dump_folder({}), dump_folder({"DUMPPATH": "/d"})) == ("/tmp", "/d")
+    assert SketchParams.from_environment({"EPSILON": "0.01"}).epsilon == 0.01 and SketchParams.from_environment({"EPSILON": "7"}).epsilon == 1 / 50000
+
+
 def test_older_dump(spark, tmp_path):
     (tmp_path / "x.tree").write_text("c lss-hcct 50000 10000\nc prog 3 /tmp\nv 1 0 1 0 0\nv 2 1 5 a b\np 2 5\n")
     run = dumps.read_runs(spark, str(tmp_path), "v1").first()
