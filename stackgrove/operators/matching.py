@@ -19,6 +19,7 @@ MATCHED, APPROXIMATE, NOT_MATCHED = "MATCHED", "APX_MATCHED", "NOT_MATCHED"
 EXACT_FULL, EXACT_QUICK = 9, 12
 PARTS = ["name", "file", "image", "offset"]
 SCHEMA = "first_path string, second_path string, status string, score double"
+from ..scratch import Scratch
 
 
 def described(nodes: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
@@ -133,12 +134,11 @@ def assign(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
 def match_trees(first: DataFrame, second: DataFrame, adjust: float = 1.0, limit: int = EXACT_FULL, checkpoint=None, levels: int = 1024) -> DataFrame:
     """first_path, second_path, status, score: the root pair, matched pairs, and nodes of the first without one.
 
-    first and second: rows of described(). checkpoint(df, name), if given, cuts the plan at each level;
-    it should write to storage that outlives executors. Else the session's checkpoint folder is used, or a cache
-    where there is none.
+    first and second: rows of described(), best from a table. Each level is written to a scratch table, or
+    handed to checkpoint(df, name) if given, which should write to storage that outlives executors.
     """
     spark = first.sparkSession
-    keep = checkpoint or (lambda df, name: df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.cache())
+    keep = checkpoint or Scratch(spark, "match").table
     frontier = spark.createDataFrame([("", "", MATCHED, 1.0)], SCHEMA)
     found = frontier
     for level in range(1, levels + 1):

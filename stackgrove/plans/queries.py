@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import depth_of
 from ..operators import contexts, matching, metrics, sampling, sketches, symbols, trees
 from ..params import BurstParams, pool_bytes
+from ..scratch import Scratch
 from ..sinks import texts
+from ..sources import dumps, traces
 from ..sources.events import ENTER, read_event_log
 
 #: Reciprocal of the hot fraction, ticks of a sampling cycle and burst, and reciprocal of tau in these queries.
@@ -283,8 +285,9 @@ def child_similarity_all(spark, sf_dir):
 
 
 def match_trees(spark, sf_dir):
-    first, second = _tree(spark, sf_dir), _burst(spark, sf_dir)
-    return matching.match_trees(matching.described(first).cache(), matching.described(second).cache(), _adjust(spark, sf_dir))
+    scratch = Scratch(spark, "match-trees")
+    first, second = (scratch.table(matching.described(t(spark, sf_dir)), n) for t, n in ((_tree, "first"), (_burst, "second")))
+    return matching.match_trees(first, second, _adjust(spark, sf_dir))
 
 
 def match_summary(spark, sf_dir):
@@ -307,6 +310,31 @@ def tree_dump_lines(spark, sf_dir):
     return texts.dump_lines(_tree(spark, sf_dir))
 
 
+#: Numbers of the log's routines in traces and dumps, which have no names.
+NUMBERS = {"signup": 1, "view": 2, "click": 3}
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.create_map(*[F.lit(x) for pair in NUMBERS.items() for x in pair])
+    return _events(spark, sf_dir).withColumn("routine_id", number[F.col("routine_id")].cast("long"))
+
+
+def trace_round_trip(spark, sf_dir):
+    """The exact tree of the log, written as binary traces and read back."""
+    folder = Scratch(spark, "traces").path("t").removeprefix("file://")
+    traces.write_traces(_numbered(spark, sf_dir).withColumn("ts", F.lit(None).cast("timestamp")), folder)
+    return trees.exact_tree(contexts.enters(traces.read_traces_any(spark, folder))).select("path", "counter")
+
+
+def dump_round_trip(spark, sf_dir):
+    """The exact tree, written as a dump and read back; parents are found by id."""
+    folder = Scratch(spark, "dumps").path("d")
+    last = F.split(F.element_at(F.split("path", "/"), -1), "@")
+    nodes = trees.exact_tree(contexts.enters(_numbered(spark, sf_dir))).select("path", "counter", last[0].cast("long").alias("routine_id"), last[1].cast("long").alias("call_site"))
+    texts.write_dump(nodes, folder, "cct", [], "events", 0, "/")
+    return dumps.with_paths(dumps.read_dumps(spark, folder)).select("path", "depth", "counter")
+
+
 def console_tree(spark, sf_dir):
     return texts.indented(_tree(spark, sf_dir))
 
@@ -380,7 +408,7 @@ _NAMED = [
     max_phi_table, hot_per_phi, sibling_rank, growth_curve, static_burst_walk, static_burst_create, burst_stats,
     wall_clock_bursts, wall_clock_tree, elapsed_ticks, time_cct, uncovered, degree_overlap, counter_error, false_positives, hot_coverage_tau,
     hot_coverage_factors, node_partition, counter_accuracy, adjust_factor, sampling_ratios, summary_report, region_join,
-    symbol_join, child_similarity, child_similarity_all, match_trees, match_summary, match_status, unmatched_frequency, graphviz_lines, tree_dump_lines, console_tree, json_tree, json_tree_all,
+    symbol_join, child_similarity, child_similarity_all, match_trees, match_summary, match_status, unmatched_frequency, graphviz_lines, tree_dump_lines, trace_round_trip, dump_round_trip, console_tree, json_tree, json_tree_all,
     sketch_report, approximate_top, adaptive_burst, adaptive_burst_weighted, shallow_tree, windowed_calls,
 ]
 

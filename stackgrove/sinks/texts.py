@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import parent_path
+from ..scratch import Scratch
 
 
 def node_ids(nodes: DataFrame) -> DataFrame:
@@ -61,12 +62,12 @@ def json_tree(nodes: DataFrame, depth: int | None = None) -> DataFrame:
     """name and json of the subtrees at depth 1, nested {"name", "children"}, of nodes down to `depth`, or of all.
 
     Built from below, a level at a time: each level's documents are gathered by parent. Without a
-    depth, each level is cut by the session's checkpoint folder, or a cache where there is none.
+    depth, each level is written to a scratch table.
     """
-    keep = lambda df: df
+    keep = lambda df, name: df
     if depth is None:
-        keep = lambda df: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.cache()
-        nodes = keep(nodes)
+        keep = Scratch(nodes.sparkSession, "json").table
+        nodes = keep(nodes, "nodes")
         depth = nodes.agg(F.max("depth")).first()[0] or 1
     rows = nodes.filter(F.col("depth") <= depth).select("path", "depth", parent_path(F.col("path")).alias("parent"), F.element_at(F.split("path", "/"), -1).alias("name"))
     below = None
@@ -77,7 +78,7 @@ def json_tree(nodes: DataFrame, depth: int | None = None) -> DataFrame:
         else:
             inner = below.groupBy("parent").agg(F.array_join(F.array_sort(F.collect_list("json")), ",").alias("inner")).withColumnRenamed("parent", "path")
             here = here.join(inner, "path", "left").fillna({"inner": ""})
-        below = keep(here.select("parent", "name", F.concat(F.lit('{"name":"'), "name", F.lit('","children":['), "inner", F.lit("]}")).alias("json")))
+        below = keep(here.select("parent", "name", F.concat(F.lit('{"name":"'), "name", F.lit('","children":['), "inner", F.lit("]}")).alias("json")), f"level-{level}")
     return below.select("name", "json")
 
 

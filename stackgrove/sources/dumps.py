@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import from_hex
+from ..scratch import Scratch
 
 #: The parameters that follow each tool's name.
 TOOLS = {
@@ -77,21 +78,20 @@ def with_paths(nodes: DataFrame, levels: int = 1 << 20) -> DataFrame:
     """run_id, node_id, path, depth, counter and ids of all nodes but the root: parents are resolved by self-joins on ids.
 
     Each step doubles the length of the known chains (a node's path from its ancestor 2**k above)
-    and is cut, to the session's checkpoint folder where there is one; steps end with the first
-    that leaves no chain below its root, after about log2 of the depth.
+    and is written to a scratch table; steps end with the first that leaves no chain below its root, after about log2 of the depth.
     """
-    context = nodes.sparkSession.sparkContext
-    cut = (lambda df: df.checkpoint()) if context.getCheckpointDir() else (lambda df: df.cache())
+    scratch = Scratch(nodes.sparkSession, "dump-paths")
     own = F.concat(F.lower(F.hex("routine_id")), F.lit("@"), F.lower(F.hex("call_site")))
     ids = ["counter", "routine_id", "call_site"]
     roots = nodes.filter("parent_id = 0").select("run_id", F.col("node_id").alias("up"))
-    chains = cut(nodes.filter("parent_id <> 0").select("run_id", "node_id", F.col("parent_id").alias("up"), own.alias("path"), *ids))
+    chains = scratch.table(nodes.filter("parent_id <> 0").select("run_id", "node_id", F.col("parent_id").alias("up"), own.alias("path"), *ids), "chains-1")
     reach = 1
     while reach < levels and not chains.join(roots, ["run_id", "up"], "left_anti").isEmpty():
         above = chains.select("run_id", F.col("node_id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"))
         joined = chains.join(above, ["run_id", "up"], "left")
-        chains = cut(joined.select("run_id", "node_id", F.coalesce("_up", "up").alias("up"), F.concat_ws("/", "_path", "path").alias("path"), *ids))
         reach *= 2
+        chains = scratch.table(joined.select("run_id", "node_id", F.coalesce("_up", "up").alias("up"), F.concat_ws("/", "_path", "path").alias("path"), *ids), f"chains-{reach}")
+        scratch.drop(f"chains-{reach // 2}")
     return chains.join(roots, ["run_id", "up"], "left_semi").select("run_id", "node_id", "path", F.size(F.split("path", "/")).alias("depth"), *ids)
 
 
