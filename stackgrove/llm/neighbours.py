@@ -3,10 +3,11 @@
 Vectors are scaled to unit length, so the nearest by cosine is the nearest by distance. A Gaussian
 (2-stable) projection to DIMENSIONS numbers keeps squared distances up to a chi-square factor. A
 kd-tree over the projections of a sample cuts the space into cells; every vector is put into its
-cell, in blocks of bounded size. A query visits blocks in the order of their boxes' projected
-distance and verifies the vectors there in full. Once the true distance of its k-th nearest is d,
-a vector that is nearer but projected to r or beyond has a chance of at most 1 - F(r * r / d / d),
-F being the chi-square distribution; when that falls to MISS, the search stops.
+cell, in blocks of bounded size. A query visits blocks, and leaves in them, in the order of their
+boxes' projected distance, and verifies the vectors there that the test lets through in full. Once the
+true distance of its k-th nearest is d, a vector that is nearer but projected to r or beyond has a
+chance of at most 1 - F(r * r / d / d), F being the chi-square distribution; when that falls to MISS,
+the search stops.
 
 In the cluster a query first searches its own cell, and then, with the d that gives, all others
 the test doesn't rule out.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, rowwise
 
-DIMENSIONS, NEIGHBOURS, MISS, SEED = 8, 5, 0.02, 11
+DIMENSIONS, NEIGHBOURS, MISS, SEED = 8, 5, 0.005, 11
 #: Vectors the cells are cut from at most, vectors meant for a cell or block, leaves of a block's tree, and
 #: queries searched at once.
 SAMPLE, BLOCK, LEAF, QUERIES = 20_000, 1024, 128, 256
@@ -148,7 +149,7 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
             if far[q, leaf] >= stop * bound:
                 break
             rows = leaves[leaf]
-            rows = rows[ids[rows] != query_ids[q]]
+            rows = rows[(ids[rows] != query_ids[q]) & (((points[rows] - at[q]) ** 2).sum(axis=1) < stop * bound)]
             found_ids, found = np.concatenate([found_ids, ids[rows]]), np.concatenate([found, np.round(vectors[rows] @ queries[q], DIGITS)])
             best = np.lexsort((found_ids, -found))[: 2 * k]
             found_ids, found = found_ids[best], found[best]
