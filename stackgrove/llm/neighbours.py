@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, rowwise
 
-DIMENSIONS, NEIGHBOURS, MISS, SEED = 8, 5, 0.005, 11
+DIMENSIONS, NEIGHBOURS, MISS, SEED = 8, 5, 0.001, 11
 #: Vectors the cells are cut from at most, vectors meant for a cell or block, leaves of a block's tree, and
 #: queries searched at once.
 SAMPLE, BLOCK, LEAF, QUERIES = 20_000, 1024, 128, 256
