@@ -91,6 +91,13 @@ def burst_stats(entered: DataFrame, sampled: DataFrame) -> DataFrame:
     return n.crossJoin(k).select("enters", "sampled", "bursts", (F.col("sampled") * 100 / F.col("enters")).alias("percent"))
 
 
+def burst_report(entered: DataFrame, sampled: DataFrame, params: BurstParams, tick_us: int) -> DataFrame:
+    """burst_stats(), and in microseconds the sampling interval, the burst and the time from the first tick to the last."""
+    span = entered.agg(F.coalesce((F.max("tick") - F.min("tick")) * tick_us, F.lit(0)).cast("long").alias("run_us"))
+    timed = burst_stats(entered, sampled).crossJoin(span)  # one row each
+    return timed.withColumns({"sampling_us": F.lit(params.interval * tick_us).cast("long"), "burst_us": F.lit(params.length * tick_us).cast("long")})
+
+
 def reenabled(seed: int, burst: int, rate: int) -> bool:
     """One in `rate` bursts on known contexts, by a hash of the seed and the burst's number."""
     return rate > 0 and int.from_bytes(hashlib.blake2b(f"{seed}:{burst}".encode(), digest_size=8).digest(), "big") % rate == 0

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import itertools
+import subprocess
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import DUMMY
 
+#: Asked with an image's path and some offsets in it, gives a name and a file of each.
+Resolver = Callable[[str, list[int]], list[tuple[str, str]]]
+
 #: Bits of an address within a page; regions are looked up by page.
 PAGE_BITS = 12
 #: Pages of a region that are listed one by one; larger regions are listed by blocks of as many pages, and so on.
@@ -57,3 +65,27 @@ def resolve(addresses: DataFrame, regions: DataFrame, symbols: DataFrame) -> Dat
     known = symbols.select("address", F.col("name").alias("_n"), F.col("file").alias("_f")).dropDuplicates(["address"])
     rows = placed.join(known, "address", "left")
     return rows.select("address", F.coalesce("_n", F.lit("UNKNOWN")).alias("name"), F.coalesce("_f", F.lit("UNKNOWN")).alias("file"), F.coalesce("pathname", F.lit("UNKNOWN")).alias("image"), (F.col("address") - F.col("start_addr") + F.col("offset")).alias("offset"))
+
+
+def addr2line(image: str, offsets: list[int], command: str = "addr2line") -> list[tuple[str, str]]:
+    """A Resolver that runs the tool of that name where the images are."""
+    out = subprocess.run([command, "-f", "-e", image, *map(hex, offsets)], capture_output=True, text=True, check=True).stdout.split("\n")
+    return [(name, place.rpartition(":")[0]) for name, place in itertools.batched(out[: 2 * len(offsets)], 2)]
+
+
+def asked(placed: DataFrame, resolver: Resolver) -> DataFrame:
+    """address, name, file of addresses placed by in_regions(), from a resolver; those in no region are left out.
+
+    Each batch is asked an image at a time, where the rows are; null names stay unknown.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = sorted(zip(*(batch.column(c).to_pylist() for c in ("pathname", "at", "address")), strict=True))
+            for image, group in itertools.groupby(rows, key=lambda r: r[0]):
+                of = list(group)
+                names, files = zip(*resolver(image, [r[1] for r in of]), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([r[2] for r in of], pa.int64()), pa.array(names, pa.string()), pa.array(files, pa.string())], ["address", "name", "file"])
+
+    at = (F.col("address") - F.col("start_addr") + F.col("offset")).alias("at")
+    return placed.filter("pathname is not null").select("pathname", at, "address").mapInArrow(run, "address long, name string, file string")

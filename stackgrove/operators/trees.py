@@ -146,6 +146,18 @@ def sibling_rank(nodes: DataFrame) -> DataFrame:
     return nodes.select("path", "counter", F.row_number().over(w).cast("long").alias("rank"))
 
 
+def growth_log(entered: DataFrame, every: int = 100_000) -> DataFrame:
+    """nodes and ts: when the tree had each multiple of `every` nodes.
+
+    First sights are counted by day, so days are numbered alone, each from the sum of those before it.
+    """
+    first = entered.groupBy("path").agg(F.min(F.struct("ts", "tid", "seq")).alias("_at")).withColumn("_day", F.to_date("_at.ts"))
+    days = first.groupBy("_day").agg(F.count("*").alias("_new"))
+    before = days.select("_day", (F.sum("_new").over(Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_new")).alias("_before"))
+    ranked = first.withColumn("_n", F.row_number().over(Window.partitionBy("_day").orderBy("_at"))).join(before, "_day")
+    return ranked.select((F.col("_before") + F.col("_n")).alias("nodes"), F.col("_at.ts").alias("ts")).filter(F.col("nodes") % every == 0)
+
+
 def growth_curve(entered: DataFrame) -> DataFrame:
     """day, nodes and events: contexts known and enters seen by the end of each day, over all threads.
 

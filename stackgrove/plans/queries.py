@@ -159,6 +159,10 @@ def growth_curve(spark, sf_dir):
     return trees.growth_curve(_enters(spark, sf_dir))
 
 
+def growth_log(spark, sf_dir):
+    return trees.growth_log(_enters(spark, sf_dir), 100)
+
+
 def static_burst_walk(spark, sf_dir):
     return _burst(spark, sf_dir).select("path", "counter")
 
@@ -405,7 +409,7 @@ def windowed_calls(spark, sf_dir):
 _NAMED = [
     exact_cct, cct_by_thread, merge_threads, underflow_exits, chunked_cct, hot_strict, hot_inclusive, hcct_offline, hcct_trace,
     prune_depth, tree_stats, subtree_sums, subtree_weights, degree_stats, distinct_routines, distinct_routines_trace, tau_count,
-    max_phi_table, hot_per_phi, sibling_rank, growth_curve, static_burst_walk, static_burst_create, burst_stats,
+    max_phi_table, hot_per_phi, sibling_rank, growth_curve, growth_log, static_burst_walk, static_burst_create, burst_stats,
     wall_clock_bursts, wall_clock_tree, elapsed_ticks, time_cct, uncovered, degree_overlap, counter_error, false_positives, hot_coverage_tau,
     hot_coverage_factors, node_partition, counter_accuracy, adjust_factor, sampling_ratios, summary_report, region_join,
     symbol_join, child_similarity, child_similarity_all, match_trees, match_summary, match_status, unmatched_frequency, graphviz_lines, tree_dump_lines, trace_round_trip, dump_round_trip, console_tree, json_tree, json_tree_all,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,13 +93,28 @@ def compare(spark: SparkSession, first_path: str, second_path: str, first_symbol
     return out
 
 
-def solve(spark: SparkSession, path: str, maps_path: str, table: DataFrame) -> DataFrame:
+def run_report(df: DataFrame, events: int) -> DataFrame:
+    """Runs a query into a sink that drops its rows; one row: its seconds, microseconds an event, and the driver JVM's peak heap in KB."""
+    spark = df.sparkSession
+    began = time.perf_counter()
+    df.write.format("noop").mode("overwrite").save()
+    seconds = time.perf_counter() - began
+    pools = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getMemoryPoolMXBeans()
+    peak = sum(p.getPeakUsage().getUsed() for p in pools if str(p.getType()) == "Heap memory") // 1024
+    return spark.createDataFrame([(seconds, seconds * 1e6 / events if events else None, events, peak)], "seconds double, us_per_event double, events long, peak_kb long")
+
+
+def solve(spark: SparkSession, path: str, maps_path: str, table: DataFrame, resolver: symbols.Resolver | None = None) -> DataFrame:
     """address, name, file, image, offset of all routines and call sites of a dump, and the dummy symbol of address 0.
 
-    table has the known symbols by address; an external resolver can supply it.
+    table has the known symbols by address; a resolver is asked for the others that lie in a region.
     """
     nodes, _ = load(spark, path)
     wanted = nodes.select(F.explode(F.array("routine_id", "call_site")).alias("address")).filter("address <> 0").distinct()
-    found = symbols.resolve(wanted, dumps.read_maps(spark, maps_path), table)
+    regions = dumps.read_maps(spark, maps_path)
+    if resolver is not None:
+        known = table.select("address", "name", "file")
+        table = known.unionByName(symbols.asked(symbols.in_regions(wanted.join(known, "address", "left_anti"), regions), resolver))
+    found = symbols.resolve(wanted, regions, table)
     dummy = spark.createDataFrame([(0, DUMMY, DUMMY, DUMMY, 0)], "address long, name string, file string, image string, offset long")
     return found.unionByName(dummy)

@@ -135,6 +135,7 @@ SELECT first_path, second_path, round((10 + CASE WHEN r THEN 30 ELSE 0 END + 10
     ),
     "graphviz_lines": _q("SELECT path, '\"' || path || '\" [label=\"' || split_part(frame, '@', 1) || '\"]; \"' || CASE WHEN parent = '' THEN 'root' ELSE parent END || '\" -> \"' || path || '\" [label=\"calls: ' || counter || '\"];' AS line FROM fam"),
     "tree_dump_lines": _q("SELECT path, 'v ' || md5(path)[1:16] || ' ' || md5(parent)[1:16] || ' ' || counter || ' ' || split_part(frame, '@', 1) || ' ' || split_part(frame, '@', 2) AS line FROM fam"),
+    "growth_log": _q(", fst AS (SELECT path, min(struct_pack(ts := ts, tid := tid, seq := seq)) AS sight FROM enters GROUP BY path) SELECT nodes, ts FROM (SELECT row_number() OVER (ORDER BY sight) AS nodes, sight.ts AS ts FROM fst) WHERE nodes % 100 = 0"),
     "trace_round_trip": _q("SELECT replace(replace(replace(path, 'signup', '1'), 'view', '2'), 'click', '3') AS path, counter FROM nodes"),
     "dump_round_trip": _q("SELECT replace(replace(replace(path, 'signup', '1'), 'view', '2'), 'click', '3') AS path, CAST(depth AS INTEGER) AS depth, counter FROM nodes"),
     "console_tree": _q("SELECT path, repeat('=', depth) || ' ' || frame || ' ' || counter AS line FROM fam"),
