@@ -85,7 +85,14 @@ def sketch_snapshots(events: DataFrame, engine: str, size: int) -> DataFrame:
     return rows.groupBy("tid").applyInPandasWithState(run, SNAPSHOT, "stack string, sketch binary", "update", "NoTimeout")
 
 
-def windowed_calls(events: DataFrame, length: str, late: str) -> DataFrame:
-    """Enters by routine in tumbling windows of event time; rows later than `late` are left out."""
+def windowed_calls(events: DataFrame, length: str, late: str, slide: str | None = None, session: bool = False) -> DataFrame:
+    """Enters by routine in windows of event time; rows later than `late` are left out.
+
+    Windows tumble, or start each `slide`; with `session` they are a thread's, and end after `length` without an enter.
+    """
     kept = events.filter(F.col("kind") == ENTER).withWatermark("ts", late)
-    return kept.groupBy(F.window("ts", length), "routine_id").agg(F.count("*").alias("enters")).select(F.col("window.start").alias("start"), "routine_id", "enters")
+    if session:
+        found = kept.groupBy(F.session_window("ts", length).alias("window"), "tid", "routine_id")
+        return found.agg(F.count("*").alias("enters")).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), "tid", "routine_id", "enters")
+    found = kept.groupBy(F.window("ts", length, slide), "routine_id") if slide else kept.groupBy(F.window("ts", length), "routine_id")
+    return found.agg(F.count("*").alias("enters")).select(F.col("window.start").alias("start"), "routine_id", "enters")
