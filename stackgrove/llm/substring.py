@@ -252,6 +252,9 @@ def run_marks(runs: DataFrame, scratch: Scratch, depth: int, gram: int) -> DataF
 
 def removals(rows: DataFrame, scratch: Scratch, depth: int = DEPTH, gram: int = GRAM) -> DataFrame:
     """rid, n_removed, spans (first word, number of words) and kept (the words that stay, joined by one space) of the texts that lose words."""
+    gram = min(gram, depth)
+    if not 0 < depth <= gram + 62:
+        raise ValueError(f"windows must have 1 to {gram + 62} words with grams of {gram}")
     found = scratch.table(prefixes(rows, depth, gram), "found")
     repeated = scratch.table(found.groupBy("prefix").agg(F.sum("n").alias("n")).filter("n > 1").select("prefix"), "prefixes")
     hits = found.select("rid", "prefix").join(repeated, "prefix")

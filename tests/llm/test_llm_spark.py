@@ -265,6 +265,15 @@ def test_spans_are_the_covered_stretches(spark):
     assert sorted((r["doc_id"], r["first"], r["words"]) for r in found) == [(1, 2, 60), (2, 0, 60)]
 
 
+@pytest.mark.parametrize("depth", [1, 4])
+def test_windows_of_other_lengths(spark, depth):
+    texts = [(1, "a b c d e f"), (2, "x b c d e y"), (3, "a"), (4, None), (5, "b c d")]
+    got = sorted((tuple(x) for x in substring.digests(docs_of(spark, texts), spark, depth).collect()), key=str)
+    assert got == expected_removals(texts, depth)
+    with pytest.raises(ValueError):
+        substring.digests(docs_of(spark, texts), spark, 100)
+
+
 def test_sql_equals_the_query(spark):
     import duckdb
 
