@@ -7,9 +7,13 @@ weight (counters of descendants) and the symbol columns of routine (r_*) and cal
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.columns import UNRESOLVED, counter_score, heuristic_score, parent_path, symbol_score
 from .trees import subtree_sums
@@ -111,11 +115,14 @@ def greedy_assignment(scores: list[list[float]], extra: list[list[float]]) -> li
     return out
 
 
-def assign(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
-    """One-to-one pairs of one parent pair's children, both sides by falling counter, then path."""
-    firsts = pdf[["first_path", "first_counter"]].drop_duplicates().sort_values(["first_counter", "first_path"], ascending=[False, True])["first_path"].tolist()
-    seconds = pdf[["second_path", "second_counter"]].drop_duplicates().sort_values(["second_counter", "second_path"], ascending=[False, True])["second_path"].tolist()
-    cells = {(a, b): (s, h) for a, b, s, h in zip(pdf["first_path"], pdf["second_path"], pdf["score"], pdf["heuristic"], strict=True)}
+def assign(rows: list[tuple], limit: int) -> list[tuple[str, str, str, float]]:
+    """One-to-one pairs of one parent pair's children, both sides by falling counter, then path.
+
+    rows: first_path, second_path, first_counter, second_counter, score, heuristic of each two children.
+    """
+    firsts = [p for p, _ in sorted({(r[0], r[2]) for r in rows}, key=lambda x: (-x[1], x[0]))]
+    seconds = [p for p, _ in sorted({(r[1], r[3]) for r in rows}, key=lambda x: (-x[1], x[0]))]
+    cells = {(r[0], r[1]): (r[4], r[5]) for r in rows}
     scores = [[cells[a, b][0] for b in seconds] for a in firsts]
     extra = [[cells[a, b][1] for b in seconds] for a in firsts]
     if max(len(firsts), len(seconds)) <= limit:
@@ -127,8 +134,31 @@ def assign(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
         for b, a in enumerate(greedy_assignment([list(c) for c in zip(*scores, strict=True)], [list(c) for c in zip(*extra, strict=True)])):
             if a >= 0:
                 chosen[a] = b
-    rows = [(firsts[a], seconds[b], status, scores[a][b]) for a, b in enumerate(chosen) if b >= 0 and scores[a][b] > 0]
-    return pd.DataFrame(rows, columns=["first_path", "second_path", "status", "score"])
+    return [(firsts[a], seconds[b], status, scores[a][b]) for a, b in enumerate(chosen) if b >= 0 and scores[a][b] > 0]
+
+
+def _assigned(scored: DataFrame, limit: int) -> DataFrame:
+    """assign() of each parent pair: sorted batches pass through, so a task holds the children of one pair."""
+    kind = T._parse_datatype_string(SCHEMA)
+    arrow = to_arrow_schema(kind)
+    keys = ["first_parent", "second_parent"]
+    columns = [*keys, "first_path", "second_path", "first_counter", "second_counter", "score", "heuristic"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, out = None, [], []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if row[:2] != now:
+                    out += assign(held, limit) if held else []
+                    now, held = row[:2], []
+                held.append(row[2:])
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+                out = []
+        if held and (out := assign(held, limit)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    return scored.select(*columns).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, kind)
 
 
 def match_trees(first: DataFrame, second: DataFrame, adjust: float = 1.0, limit: int = EXACT_FULL, checkpoint=None, levels: int = 1024) -> DataFrame:
@@ -143,7 +173,7 @@ def match_trees(first: DataFrame, second: DataFrame, adjust: float = 1.0, limit:
     found = frontier
     for level in range(1, levels + 1):
         scored = pair_scores(first, second, frontier, adjust)
-        frontier = keep(scored.groupBy("first_parent", "second_parent").applyInPandas(lambda pdf: assign(pdf, limit), SCHEMA), f"level-{level}")
+        frontier = keep(_assigned(scored, limit), f"level-{level}")
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)

@@ -3,6 +3,7 @@
 import pytest
 
 from stackgrove.plans import queries
+from stackgrove.scratch import Scratch
 
 DATA = "/root/testdata/sf0.001"
 
@@ -22,7 +23,7 @@ def burst(spark):
 
 
 def test_match_queries_reach_every_node(spark, tree, burst, monkeypatch):
-    matches = queries.match_trees(spark, DATA).localCheckpoint()
+    matches = Scratch(spark, "t").table(queries.match_trees(spark, DATA), "matches")
     monkeypatch.setattr(queries, "match_trees", lambda *_: matches)  # matched once for all three
     rows = matches.collect()
     pairs = {r["first_path"]: r["second_path"] for r in rows}
