@@ -275,14 +275,7 @@ def symbol_join(spark, sf_dir):
 
 
 def child_similarity(spark, sf_dir):
-    first, second = matching.described(_tree(spark, sf_dir)), matching.described(_burst(spark, sf_dir))
-    same = first.filter("depth = 1").select(F.col("path").alias("first_path"), F.col("path").alias("second_path"))
-    pairs = same.unionByName(spark.createDataFrame([("", "")], "first_path string, second_path string"))
-    return matching.pair_scores(first, second, pairs, _adjust(spark, sf_dir)).select("first_path", "second_path", F.round("score", 6).alias("score"))
-
-
-def child_similarity_all(spark, sf_dir):
-    """Children of every pair of one path, at any depth; child_similarity has the first two levels, as its SQL."""
+    """Children of every pair of one path, and of the roots."""
     first, second = matching.described(_tree(spark, sf_dir)), matching.described(_burst(spark, sf_dir))
     pairs = _same_paths(spark, sf_dir).unionByName(spark.createDataFrame([("", "")], "first_path string, second_path string"))
     return matching.pair_scores(first, second, pairs, _adjust(spark, sf_dir)).select("first_path", "second_path", F.round("score", 6).alias("score"))
@@ -344,11 +337,6 @@ def console_tree(spark, sf_dir):
 
 
 def json_tree(spark, sf_dir):
-    return texts.json_tree(_tree(spark, sf_dir), 3)
-
-
-def json_tree_all(spark, sf_dir):
-    """Subtrees nested down to their leaves; json_tree has three levels, as its SQL."""
     return texts.json_tree(_tree(spark, sf_dir))
 
 
@@ -412,7 +400,7 @@ _NAMED = [
     max_phi_table, hot_per_phi, sibling_rank, growth_curve, growth_log, static_burst_walk, static_burst_create, burst_stats,
     wall_clock_bursts, wall_clock_tree, elapsed_ticks, time_cct, uncovered, degree_overlap, counter_error, false_positives, hot_coverage_tau,
     hot_coverage_factors, node_partition, counter_accuracy, adjust_factor, sampling_ratios, summary_report, region_join,
-    symbol_join, child_similarity, child_similarity_all, match_trees, match_summary, match_status, unmatched_frequency, graphviz_lines, tree_dump_lines, trace_round_trip, dump_round_trip, console_tree, json_tree, json_tree_all,
+    symbol_join, child_similarity, match_trees, match_summary, match_status, unmatched_frequency, graphviz_lines, tree_dump_lines, trace_round_trip, dump_round_trip, console_tree, json_tree,
     sketch_report, approximate_top, adaptive_burst, adaptive_burst_weighted, shallow_tree, windowed_calls,
 ]
 

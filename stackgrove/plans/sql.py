@@ -130,7 +130,7 @@ count(*) FILTER (counter * 10 >= (SELECT hottest FROM tot)) AS near_hottest, cou
     "symbol_join": "SELECT l_partkey + 1 AS address, p_name AS name, p_brand AS image, count(*) AS n FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3",
     "child_similarity": _q(
         """, wf AS (SELECT path, counter, CASE WHEN d = 1 THEN '' ELSE array_to_string((string_split(path, '/'))[1:d - 1], '/') END AS parent, (string_split(path, '/'))[d] AS frame FROM (SELECT *, len(string_split(path, '/')) AS d FROM walk)),
-pr AS (SELECT a.path AS first_path, b.path AS second_path, a.counter AS c1, b.counter AS c2, split_part(a.frame, '@', 1) = split_part(b.frame, '@', 1) AS r, a.frame = b.frame AS s FROM fam a JOIN wf b ON a.parent = b.parent WHERE a.depth <= 2)
+pr AS (SELECT a.path AS first_path, b.path AS second_path, a.counter AS c1, b.counter AS c2, split_part(a.frame, '@', 1) = split_part(b.frame, '@', 1) AS r, a.frame = b.frame AS s FROM fam a JOIN wf b ON a.parent = b.parent)
 SELECT first_path, second_path, round((10 + CASE WHEN r THEN 30 ELSE 0 END + 10 + CASE WHEN s THEN 30 ELSE 0 END) / 100.0 + CASE WHEN floor(abs(c1 - f * c2)) / c1 < 1 THEN 0.20 * (1 - floor(abs(c1 - f * c2)) / c1) ELSE 0 END, 6) AS score FROM pr, adj"""
     ),
     "graphviz_lines": _q("SELECT path, '\"' || path || '\" [label=\"' || split_part(frame, '@', 1) || '\"]; \"' || CASE WHEN parent = '' THEN 'root' ELSE parent END || '\" -> \"' || path || '\" [label=\"calls: ' || counter || '\"];' AS line FROM fam"),
@@ -140,9 +140,9 @@ SELECT first_path, second_path, round((10 + CASE WHEN r THEN 30 ELSE 0 END + 10
     "dump_round_trip": _q("SELECT replace(replace(replace(path, 'signup', '1'), 'view', '2'), 'click', '3') AS path, CAST(depth AS INTEGER) AS depth, counter FROM nodes"),
     "console_tree": _q("SELECT path, repeat('=', depth) || ' ' || frame || ' ' || counter AS line FROM fam"),
     "json_tree": _q(
-        """, j3 AS (SELECT parent, '{"name":"' || frame || '","children":[]}' AS j FROM fam WHERE depth = 3),
-j2 AS (SELECT f.parent, '{"name":"' || f.frame || '","children":[' || coalesce((SELECT string_agg(j, ',' ORDER BY j) FROM j3 WHERE j3.parent = f.path), '') || ']}' AS j FROM fam f WHERE depth = 2)
-SELECT f.frame AS name, '{"name":"' || f.frame || '","children":[' || coalesce((SELECT string_agg(j, ',' ORDER BY j) FROM j2 WHERE j2.parent = f.path), '') || ']}' AS json FROM fam f WHERE depth = 1"""
+        """, dfs AS (SELECT (string_split(path, '/'))[1] AS name, frame, depth, list_transform(string_split(path, '/'), lambda x: x || '"') AS o FROM fam),
+nxt AS (SELECT *, lead(depth) OVER (PARTITION BY name ORDER BY o) AS "then" FROM dfs)
+SELECT name, string_agg('{"name":"' || frame || '","children":[' || repeat(']}', CAST(depth - coalesce(nxt."then", 1) + 1 AS INTEGER)) || CASE WHEN nxt."then" <= depth THEN ',' ELSE '' END, '' ORDER BY o) AS json FROM nxt GROUP BY name"""
     ),
     "lss_large": _q("SELECT path, count(*) AS counter FROM enters GROUP BY path"),
     "bss_large": _q("SELECT path, count(*) AS counter FROM enters GROUP BY path"),

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import parent_path
-from ..scratch import Scratch
 
 
 def node_ids(nodes: DataFrame) -> DataFrame:
@@ -58,28 +57,20 @@ def write_graphviz(nodes: DataFrame, folder: str, name: Column | None = None) ->
     ends.unionByName(body).coalesce(1).sortWithinPartitions("o").select("value").write.mode("overwrite").text(folder)
 
 
-def json_tree(nodes: DataFrame, depth: int | None = None) -> DataFrame:
-    """name and json of the subtrees at depth 1, nested {"name", "children"}, of nodes down to `depth`, or of all.
+def json_tree(nodes: DataFrame) -> DataFrame:
+    """name and json of the subtrees at depth 1, nested {"name", "children"} down to the leaves, siblings in order.
 
-    Built from below, a level at a time: each level's documents are gathered by parent. Without a
-    depth, each level is written to a scratch table.
+    In depth-first order a node's text opens its object and closes as many as the next node lies above it, so
+    one window by subtree gives all texts. A subtree is one value, and so one task's.
     """
-    keep = lambda df, name: df
-    if depth is None:
-        keep = Scratch(nodes.sparkSession, "json").table
-        nodes = keep(nodes, "nodes")
-        depth = nodes.agg(F.max("depth")).first()[0] or 1
-    rows = nodes.filter(F.col("depth") <= depth).select("path", "depth", parent_path(F.col("path")).alias("parent"), F.element_at(F.split("path", "/"), -1).alias("name"))
-    below = None
-    for level in range(depth, 0, -1):
-        here = rows.filter(F.col("depth") == level)
-        if below is None:
-            here = here.withColumn("inner", F.lit(""))
-        else:
-            inner = below.groupBy("parent").agg(F.array_join(F.array_sort(F.collect_list("json")), ",").alias("inner")).withColumnRenamed("parent", "path")
-            here = here.join(inner, "path", "left").fillna({"inner": ""})
-        below = keep(here.select("parent", "name", F.concat(F.lit('{"name":"'), "name", F.lit('","children":['), "inner", F.lit("]}")).alias("json")), f"level-{level}")
-    return below.select("name", "json")
+    parts = F.split("path", "/")
+    name = F.replace(F.replace(F.element_at(parts, -1), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    rows = nodes.select(parts[0].alias("name"), F.transform(parts, lambda x: F.concat(x, F.lit('"'))).alias("_o"), F.size(parts).alias("_depth"), name.alias("_name"))
+    then = F.lead("_depth").over(Window.partitionBy("name").orderBy("_o"))
+    up = F.col("_depth") - F.coalesce(then, F.lit(1)) + 1  # objects that end with this node
+    text = F.concat(F.lit('{"name":"'), "_name", F.lit('","children":['), F.repeat(F.lit("]}"), up), F.when(then.isNotNull() & (up > 0), ",").otherwise(""))
+    listed = rows.withColumn("_text", text).groupBy("name").agg(F.sort_array(F.collect_list(F.struct("_o", "_text"))).alias("l"))
+    return listed.select("name", F.array_join(F.transform("l", lambda x: x["_text"]), "").alias("json"))
 
 
 def json_document(nodes: DataFrame, root: str = "0") -> DataFrame:

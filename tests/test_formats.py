@@ -127,7 +127,7 @@ def test_large_region(spark):
 
 def test_json_tree(spark):
     nodes = trees.exact_tree(spark.createDataFrame([("a",), ("a/b",), ("a/c",), ("d",)], "path string"))
-    got = {r["name"]: json.loads(r["json"]) for r in texts.json_tree(nodes, 3).collect()}
+    got = {r["name"]: json.loads(r["json"]) for r in texts.json_tree(nodes).collect()}
     assert got["a"] == {"name": "a", "children": [{"name": "b", "children": []}, {"name": "c", "children": []}]}
 
 

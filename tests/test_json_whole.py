@@ -15,7 +15,7 @@ def test_json_of_whole_trees(spark):
         inner = ",".join(sorted(nested(k) for k in kids.get(path, [])))
         return '{"name":"' + path.rpartition("/")[2] + '","children":[' + inner + "]}"
 
-    rows = queries.json_tree_all(spark, DATA).collect()
+    rows = queries.json_tree(spark, DATA).collect()
     assert sorted((r["name"], r["json"]) for r in rows) == sorted((k, nested(k)) for k in kids[""])
     assert sum(r["json"].count('{"name"') for r in rows) == sum(map(len, kids.values()))
 
