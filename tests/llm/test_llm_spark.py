@@ -286,3 +286,73 @@ def test_sql_equals_the_query(spark):
         got = queries.queries()[name](spark, DATA)
         want = duck.execute(text).df()[got.columns]
         assert sorted(map(tuple, got.toPandas().astype(str).values.tolist())) == sorted(map(tuple, want.astype(str).values.tolist())), name
+
+
+def test_bpe_digests_of_odd_rows(spark):
+    from stackgrove.llm import bpe
+
+    lib = library()
+    texts = [*MIXED, (60, "<|endoftext|> Don't STOP ½ 日本語 ǅ"), (61, "x" * 20_000)]
+    rows = bpe.encoded_digests(docs_of(spark, texts), spark).collect()
+    want = []
+    for i, t in texts:
+        ids = lib.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(lib.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert sorted(((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in rows), key=str) == sorted(want, key=str)
+    assert bpe.encoded_digests(docs_of(spark, []), spark).count() == 0
+
+
+def test_packed_pieces_equal_brute_force(spark):
+    lib = library()
+    texts = [*MIXED, (70, "word " * 9000), (71, "same"), (72, "same")]
+    got = sorted(((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in packing.packed_documents(docs_of(spark, texts), spark).collect()), key=str)
+    want = []
+    for i, t in texts:
+        ids = [*lib.encode(t or "", add_special_tokens=False).ids, 1]
+        want += [(i, k, at, len(ids[at : at + 4096]), zlib.crc32(np.array(ids[at : at + 4096], "<u4").tobytes())) for k, at in enumerate(range(0, len(ids), 4096))]
+    assert got == sorted(want, key=str)
+
+
+def test_media_forms_equal_brute_force(spark):
+    texts = [*MIXED, (80, "a gradient " * 300), (81, "a gradient " * 300)]
+    rows = media.text_media(docs_of(spark, texts)).collect()
+    for (_, t), row in zip(texts, rows, strict=True):
+        raw = (t or "").encode()
+        padded = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        stored = b"P5\n64 %d\n255\n" % (len(padded) // 64) + padded
+        assert (row["media_bytes"], row["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        image = np.frombuffer(padded, np.uint8).reshape(-1, 64).astype(float)
+        fine = np.repeat(np.repeat(image, 8, axis=0), 9, axis=1)  # 8 rows and 9 columns divide this evenly
+        cells = np.round(fine.reshape(8, len(image), 9, 64).mean(axis=(1, 3)), 6)
+        assert row["feature"] == np.packbits(cells[:, 1:] > cells[:, :-1]).tobytes().hex()
+    assert rows[-1]["feature"] == rows[-2]["feature"]
+    assert media.text_media(docs_of(spark, [])).count() == 0
+    assert media.media_features(spark.createDataFrame([(1, b"P2\n1 1\n255\n300"), (2, b"P5 9 9 255\n\0")], "doc_id long, media binary")).filter("feature is not null").count() == 0
+
+
+def test_simhash_end_to_end(spark):
+    r = random.Random(21)
+    base = [" ".join(r.choice(WORDS) + str(r.randrange(50)) for _ in range(300)) for _ in range(12)]
+    texts = [(k, t) for k, t in enumerate(base)]
+    for k in range(60):
+        words = r.choice(base).split()
+        for _ in range(r.randrange(3)):
+            words[r.randrange(len(words))] = "edited"
+        texts.append((100 + k, " ".join(words)))
+    texts += [(500, None), (501, ""), (501, "")]
+    prints = [(i, simhash.fingerprint(t or "")) for i, t in texts]
+    label = list(range(len(texts)))
+    for _ in texts:
+        for a, (_, x) in enumerate(prints):
+            for b, (_, y) in enumerate(prints):
+                if ((x ^ y) & (1 << 64) - 1).bit_count() <= 2:
+                    label[a] = label[b] = min(label[a], label[b])
+    first = {}
+    for (i, _), c in zip(texts, label, strict=True):
+        first[c] = min(first.get(c, i), i)
+    want = sorted((i, f"{p & (1 << 64) - 1:016x}", first[c]) for (i, p), c in zip(prints, label, strict=True))
+    assert sorted(tuple(x) for x in simhash.near_duplicates(docs_of(spark, texts), spark).collect()) == want
+
+
+def test_no_rows_no_secrets(spark):
+    assert secrets.secret_findings(docs_of(spark, []), spark).count() == 0 and secrets.without_secrets(docs_of(spark, []), spark).count() == 0
