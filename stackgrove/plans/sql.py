@@ -57,7 +57,7 @@ ORACLE = {
     "degree_stats": _q("SELECT round(CAST(sum(n) AS DOUBLE) / count(*), 6) AS avg_degree, max(n) AS max_degree FROM (SELECT parent, count(*) AS n FROM fam GROUP BY parent)"),
     "distinct_routines": _q("SELECT count(DISTINCT split_part(frame, '@', 1)) AS n_routines, count(DISTINCT frame) AS n_call_sites FROM fam"),
     "distinct_routines_trace": _q("SELECT count(DISTINCT split_part(frame, '@', 1)) + 1 AS n_routines, count(DISTINCT frame) + 1 AS n_call_sites FROM fam"),
-    "tau_count": _q("SELECT 10 AS tau, count(*) AS nodes FROM nodes, tot WHERE counter * 10 >= hottest"),
+    "tau_count": _q("SELECT 10 AS tau, count(*) FILTER (counter * 10 >= hottest) + any_value(CASE WHEN 10 >= hottest THEN 1 ELSE 0 END) AS nodes FROM nodes, tot"),
     "max_phi_table": _q(
         """, run2 AS (SELECT counter, row_number() OVER w - 1 AS i, sum(counter) OVER w AS p FROM nodes WINDOW w AS (ORDER BY counter DESC, path ROWS UNBOUNDED PRECEDING)),
 lev AS (SELECT k AS level, 100 - 100 / pow(1.25, k) AS overlap FROM (SELECT unnest(range(0, 30)) AS k))
@@ -124,7 +124,7 @@ FROM (SELECT abs(floor(est * f) - counter) / counter AS e FROM {_SEEN}, adj, thr
     "sampling_ratios": _q("SELECT round(CAST((SELECT count(*) FROM smp) AS DOUBLE) / n, 6) AS sampled_of_second, round(CAST((SELECT sum(counter) FROM walk) AS DOUBLE) / n, 6) AS sampled_of_first, CAST(1 AS DOUBLE) AS second_of_first FROM tot"),
     "summary_report": _q(
         """SELECT 12 + CAST(ceil((count(*) + 1) / 1024.0) AS BIGINT) * 20484 AS bytes, count(*) + 1 AS nodes, CAST(sum(counter) AS BIGINT) AS stream, count(*) FILTER (counter > (SELECT thr FROM thr)) AS hot_nodes, CAST(sum(counter) + 1 AS BIGINT) AS sum_counters, max(counter) AS hottest,
-count(*) FILTER (counter * 10 >= (SELECT hottest FROM tot)) AS near_hottest, count(DISTINCT split_part(frame, '@', 1)) AS routines, count(DISTINCT frame) AS call_sites FROM fam"""
+count(*) FILTER (counter * 10 >= (SELECT hottest FROM tot)) + (SELECT CASE WHEN 10 >= hottest THEN 1 ELSE 0 END FROM tot) AS near_hottest, count(DISTINCT split_part(frame, '@', 1)) AS routines, count(DISTINCT frame) AS call_sites FROM fam"""
     ),
     "region_join": "SELECT p.p_partkey AS address, min(r.lo) AS start_addr, min_by(r.name, r.lo) AS pathname FROM part p LEFT JOIN (SELECT s_suppkey * 20 AS lo, s_suppkey * 20 + 30 AS hi, s_name AS name FROM supplier) r ON p.p_partkey BETWEEN r.lo AND r.hi GROUP BY p.p_partkey",
     "symbol_join": "SELECT l_partkey + 1 AS address, p_name AS name, p_brand AS image, count(*) AS n FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3",
